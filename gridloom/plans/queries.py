@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.operators import snapshots
+from gridloom.operators import packed, snapshots
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": snapshots.p1_found,
+    "p5_found": packed.p5_found,
 }
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "p1_found"
