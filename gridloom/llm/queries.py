@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm.canonical import p3_found
 from gridloom.llm.plain_text import not_plain
 from gridloom.session import table
 
@@ -18,5 +19,6 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
+    "p3_found": p3_found,
 }
 ORACLE: dict[str, str] = {}
