@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.canonical import p3_found
 from gridloom.llm.plain_text import not_plain
+from gridloom.llm.repetition import p9_found, p9_lines, p9_share
 from gridloom.session import table
 
 
@@ -20,5 +21,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p9_found": p9_found,
+    "p9_share": p9_share,
+    "p9_lines": p9_lines,
 }
 ORACLE: dict[str, str] = {}
