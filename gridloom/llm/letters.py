@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1_000_000  # characters handled at once; a longer text is a chunk of its own
 _LOOSE = re.compile("[̀-ͯ҃-҉ᄀ-ᇿ᪰-᫿᷀-᷿⃐-⃿゙゚︠-︯]")
@@ -55,7 +56,7 @@ def letters(texts: list[str | None], digits: bool = True) -> tuple[np.ndarray, n
 def chunks(batch: pa.RecordBatch, text: int = 1) -> Iterator[tuple[int, int, list[str | None]]]:
     """(first row, end row, texts) pieces of a batch of about CHUNK characters."""
     n = batch.num_rows
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)).astype(np.int64)
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(text)), 0)).astype(np.int64)
     piece = np.cumsum(size) // (2 * CHUNK)
     at = 0
     while at < n:
