@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.canonical import p3_found
+from gridloom.llm.leakage import p8_found, p8_leaks
 from gridloom.llm.plain_text import not_plain
 from gridloom.llm.repetition import p9_found, p9_lines, p9_share
+from gridloom.llm.tokens import p7_ids
 from gridloom.session import table
 
 
@@ -21,6 +23,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found,
+    "p8_leaks": p8_leaks,
     "p9_found": p9_found,
     "p9_share": p9_share,
     "p9_lines": p9_lines,
