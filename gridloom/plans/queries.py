@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.operators import packed, snapshots
+from gridloom.operators import packed, snapshots, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": snapshots.p1_found,
     "p5_found": packed.p5_found,
+    "p6_found": units.p6_found,
 }
 ORACLE: dict[str, str] = {}
 FLAGSHIP = "p1_found"

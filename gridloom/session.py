@@ -40,3 +40,27 @@ def cut(df: DataFrame) -> DataFrame:
 def parallel(spark: SparkSession) -> int:
     """Partitions for a shuffle that AQE must not shrink below the cluster's cores (Python stages)."""
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes the package importable in the Python workers of all executors, once a session."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    import atexit
+    import shutil
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent
+    folder = Path(tempfile.mkdtemp(prefix="gridloom-"))  # on the driver only: Spark's file server hands the file out
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "gridloom.zip", "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(folder / "gridloom.zip"))
+    _SHIPPED.add(app)
