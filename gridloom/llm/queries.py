@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.canonical import p3_found
 from gridloom.llm.leakage import p8_found, p8_leaks
+from gridloom.llm.names import p4_found, p4_links
 from gridloom.llm.plain_text import not_plain
 from gridloom.llm.repetition import p9_found, p9_lines, p9_share
 from gridloom.llm.tokens import p7_ids
@@ -23,6 +24,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p3_found": p3_found,
+    "p4_found": p4_found,
+    "p4_links": p4_links,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,
