@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators import packed, snapshots, units
+from gridloom.plans import checks, registry  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    **registry.QUERIES,
     "p1_found": snapshots.p1_found,
     "p5_found": packed.p5_found,
     "p6_found": units.p6_found,
 }
-ORACLE: dict[str, str] = {}
-FLAGSHIP = "p1_found"
+ORACLE: dict[str, str] = {**registry.ORACLE}
+FLAGSHIP = "chk_row_sum"
