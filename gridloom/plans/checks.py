@@ -16,7 +16,7 @@ YEARS = tuple(range(1995, 2002))
 N = len(YEARS)
 
 
-def order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+def order_grid(spark: SparkSession, sf_dir: str, off: int = 2) -> DataFrame:
     """Cells of the grids: header row 0, nations in rows 1.., their total last; label in column 0, years, total in column N + 1."""
     orders = table(spark, sf_dir, "orders").select("o_custkey", F.year("o_orderdate").alias("y"))
     customer = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey"))
@@ -30,8 +30,8 @@ def order_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = rows.groupBy("table_id").agg((F.count("*") + 1).cast("int").alias("row_index"), F.lit("합계").alias("label"), *[F.sum(c).alias(c) for c in names])
     wide = data.unionByName(total).withColumn("total", F.expr("+".join(names)))
     cells = wide.select("table_id", "row_index", F.posexplode(F.array(F.lit(None).cast("long"), *[F.col(c) for c in [*names, "total"]])).alias("col_index", "v"), "label")
-    off = F.when((F.col("row_index") * 7 + F.col("col_index")) % 11 == 0, 2).otherwise(0)
-    value = F.when(F.col("col_index") > 0, F.col("v") + off)
+    wrong = F.when((F.col("row_index") * 7 + F.col("col_index")) % 11 == 0, off).otherwise(0)
+    value = F.when(F.col("col_index") > 0, F.col("v") + wrong)
     cells = cells.select("table_id", "row_index", "col_index", F.when(F.col("col_index") == 0, F.col("label")).otherwise(F.format_number(value, 0)).alias("text_value"), value.cast("double").alias("numeric_value"), F.lit(False).alias("is_header"))
     head = rows.select("table_id").distinct().select("table_id", F.lit(0).alias("row_index"), F.posexplode(F.array(*[F.lit(x) for x in ("구분", *map(str, YEARS), "합계")])).alias("col_index", "text_value"))
     return cells.unionByName(head.withColumns({"numeric_value": F.lit(None).cast("double"), "is_header": F.lit(True)}))
