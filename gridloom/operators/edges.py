@@ -21,15 +21,19 @@ from pyspark.sql import types as T
 
 from gridloom.functions import numeric as N
 
-CELLREF = "struct<row:int,column:int,op:string>"
-SPEC = T._parse_datatype_string(
-    "spec_id string, table_id long, type string, label string, check_group string, severity string, failure_status string, execute boolean, confidence double, "
-    "tolerance double, change_tolerance double, multiplier double, target_row int, target_column int, operand_columns array<int>, operand_rows array<int>, columns array<int>, "
-    "row_indices array<int>, display_only_row_indices array<int>, allow_single_operand boolean, "
-    f"operand_cells array<{CELLREF}>, terms array<struct<op:string,column:int>>, numerator_column int, numerator_row int, denominator_row int, denominator_columns array<int>, denominator_rows array<int>, "
-    "current_column int, previous_column int, row_pairs array<struct<target_row:int,source_row:int,value_row:int,weight_row:int>>, value_column int, change_column int, rate_column int, weight_column int, "
-    "source_table_id long, source_column int, source_row int, source_weight_column int"
-)
+def _struct(**kinds: str) -> T.StructType:
+    of = {"int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "long": T.LongType(), "boolean": T.BooleanType(), "ints": T.ArrayType(T.IntegerType())}
+    return T.StructType([T.StructField(k, of[v] if isinstance(v, str) else v) for k, v in kinds.items()])
+
+
+SPEC = _struct(
+    spec_id="string", table_id="long", type="string", label="string", check_group="string", severity="string", failure_status="string", execute="boolean", confidence="double",
+    tolerance="double", change_tolerance="double", multiplier="double", target_row="int", target_column="int", operand_columns="ints", operand_rows="ints", columns="ints",
+    row_indices="ints", display_only_row_indices="ints", allow_single_operand="boolean", operand_cells=T.ArrayType(_struct(row="int", column="int", op="string")),
+    terms=T.ArrayType(_struct(op="string", column="int")), numerator_column="int", numerator_row="int", denominator_row="int", denominator_columns="ints", denominator_rows="ints",
+    current_column="int", previous_column="int", row_pairs=T.ArrayType(_struct(target_row="int", source_row="int", value_row="int", weight_row="int")),
+    value_column="int", change_column="int", rate_column="int", weight_column="int", source_table_id="long", source_column="int", source_row="int", source_weight_column="int",
+)
 NORMAL, SUSPECT, REVIEW = "정상", "오류 의심", "확인 필요"
 # Spec types whose tolerance is at least 1, and the default tolerances.
 FLOORED = ("region_total", "column_sum", "cell_sum", "cell_relation_sum", "row_sum", "row_arithmetic", "row_ratio", "column_share_ratio", "row_ratio_by_rows", "cross_table_cell_match", "cross_table_row_sum", "cross_table_weighted_average")
