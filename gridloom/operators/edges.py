@@ -59,11 +59,15 @@ def extents(cells: DataFrame) -> DataFrame:
 def cell_values(cells: DataFrame) -> DataFrame:
     """The grid's cells with their value under each null policy."""
     n, t = F.col("numeric_value"), F.col("text_value")
-    return cells.select(
-        "table_id", F.col("row_index").alias("row"), F.col("col_index").alias("col"),
-        N.raw_value(n, t).alias("raw"), N.target_value(n, t).alias("target"), N.operand_value(n, t).alias("operand"),
-        N.cross_value(n, t, True).alias("cross_zero"), N.cross_value(n, t, False).alias("cross_null"), N.leading_value(n, t).alias("leading"),
-        N.shown_whole(t).alias("whole"),
+    # Two steps: the text is parsed once, the policies only differ in what blanks and dashes count for.
+    raw = cells.select("table_id", F.col("row_index").alias("row"), F.col("col_index").alias("col"), N.raw_value(n, t).alias("raw"), N.display(t).alias("shown"), N.leading_value(n, t).alias("leading"))
+    v, d = F.col("raw"), F.col("shown")
+    target = F.coalesce(v, F.when(d.isin(*N.SUM_DASHES), 0.0))
+    cross = F.coalesce(v, F.when(d.isin(*N.CROSS_DASHES), 0.0))
+    zero = F.when(d == "", 0.0)
+    return raw.select(
+        "table_id", "row", "col", "raw", target.alias("target"), F.coalesce(target, zero).alias("operand"),
+        F.coalesce(cross, zero).alias("cross_zero"), cross.alias("cross_null"), "leading", F.regexp_replace("shown", "[,%]", "").rlike(r"^[-+]?[0-9]+$").alias("whole"),
     )
 
 
@@ -220,6 +224,7 @@ def evaluate(specs: DataFrame, cells: DataFrame, types: list[str] | None = None)
     e = e.withColumn("v", pick(kind))
     key = ["spec_id", "table_id", "row", "col", "part"]
     # Values and weights of one pair meet first; pairs without one of them fall out.
+    weighted = types is None or any(PLAN[t][0] == "WAVG" for t in types)
     wavg = e.where("formula = 'WAVG'").groupBy(*key, "pair").agg(F.max(F.when(F.col("role") == "value", F.col("v"))).alias("v"), F.max(F.when(F.col("role") == "weight", F.col("v"))).alias("w")).groupBy(*key).agg(
         F.sum(F.col("v") * F.col("w")).alias("vw"), F.sum(F.when(F.col("v").isNotNull() & F.col("w").isNotNull(), F.col("w"))).alias("w"), F.count_if(F.col("v").isNotNull() & F.col("w").isNotNull()).alias("n_pairs"))
     role = lambda r: F.sum(F.when(F.col("role") == r, F.col("sign") * F.col("v")))
@@ -227,7 +232,8 @@ def evaluate(specs: DataFrame, cells: DataFrame, types: list[str] | None = None)
         F.count("op_row").alias("n"), F.count_if(F.col("op_row").isNotNull() & F.col("v").isNull()).alias("n_null"),
         role("term").alias("term"), role("num").alias("num"), role("den").alias("den"), role("cur").alias("cur"), role("prev").alias("prev"), role("value").alias("match"),
     )
-    x = agg.join(wavg, key, "left").join(meta, "spec_id").join(values, ["table_id", "row", "col"])
+    agg = agg.join(wavg, key, "left") if weighted else agg.withColumns({c: F.lit(None).cast("double") for c in ("vw", "w", "n_pairs")})
+    x = agg.join(meta, "spec_id").join(values, ["table_id", "row", "col"])
     change = F.col("part") == "change"
     mult = F.coalesce("multiplier", F.when(F.col("type").isin("row_ratio", "row_ratio_by_rows"), 1.0).otherwise(100.0))
     expected = (

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions.grid import deduplicated, number_of, plain_texts, says_nothing
-from gridloom.session import parallel, table
+from gridloom.session import cut, parallel, table
 
 
 def _differences(k1: np.ndarray, k2: np.ndarray, version: np.ndarray, h: np.ndarray, handle: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,8 +102,7 @@ def yearbook_rows(spark: SparkSession, reports: DataFrame, tables: DataFrame, ce
     t = t.where("before or after")
     cells = cells.select("id", "table_id", "row_index", "col_index", "text_value", F.coalesce("is_header", F.lit(False)).alias("is_header"))
     c = cells.join(t.select("table_id"), "table_id", "left_semi")
-    c = deduplicated(plain_texts(c, "text_value"))
-    return c, t
+    return cut(deduplicated(plain_texts(c, "text_value"))), t
 
 
 def yearbook_changes(spark: SparkSession, reports: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFrame:

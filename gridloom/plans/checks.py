@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gridloom.operators import crosstable, edges, findings
 from gridloom.plans.registry import query
-from gridloom.session import table
+from gridloom.session import cut, table
 
 YEARS = tuple(range(1995, 2002))
 N = len(YEARS)
@@ -57,7 +57,7 @@ def _specs(spark: SparkSession, kind: str, tables: DataFrame, **fields) -> DataF
 
 def _run(kind: str, **fields):
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cells = order_grid(spark, sf_dir)
+        cells = cut(order_grid(spark, sf_dir))  # read for extents, targets and operands
         last = cells.groupBy("table_id").agg(F.max("row_index").alias("last"))
         out = edges.evaluate(_specs(spark, kind, last, **fields), cells, [kind])
         return out.select("table_id", "row_index", "col_index", "current_value", F.round("expected_value", 6).alias("expected_value"), "passed")
@@ -137,7 +137,7 @@ def grid_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _order_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = order_grid(spark, sf_dir)
+    cells = cut(order_grid(spark, sf_dir))
     last = cells.groupBy("table_id").agg(F.max("row_index").alias("last"))
     specs = _specs(spark, "row_sum", last, target_column=str(N + 1), operand_columns=years).unionAll(_specs(spark, "column_sum", last, target_row="last", columns=f"sequence(1, {N + 1})", operand_rows="sequence(1, last - 1)"))
     return edges.evaluate(specs, cells, ["row_sum", "column_sum"])
