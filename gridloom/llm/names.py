@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from gridloom.functions.plainform import plain_form
 from gridloom.llm.canonical import department_names, mapping, owner_texts
 from gridloom.operators.packed import packed_values
-from gridloom.session import table
+from gridloom.session import cut, table
 
 # Romanisation of the Hangul letters, customary spellings of family names, titles.
 LEADS = ("g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h")
@@ -232,11 +232,11 @@ def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     mentions = officer_mentions(spark, owners, logical)
     users = users.select(F.col("row_number").cast("long").alias("user_row"), "name", F.coalesce("department", "display_department").alias("department")).where("name is not null")
     texts = mentions.select("department").unionAll(users.select("department")).where("department is not null").distinct().withColumnRenamed("department", "text")
-    to = mapping(spark, texts, department_names(spark, glossary)).where("entry_id > 0").select(F.col("text").alias("department"), F.col("entry_id").alias("block"))
-    mentions, users = mentions.join(to, "department"), users.join(to, "department")
+    to = cut(mapping(spark, texts, department_names(spark, glossary)).where("entry_id > 0").select(F.col("text").alias("department"), F.col("entry_id").alias("block")))
+    mentions, users = cut(mentions.join(to, "department").drop("department")), users.join(to, "department")
     # A name listed twice in a department means no single row; it is no centre.
-    centres = users.groupBy("block", "name").agg(F.min("user_row").alias("user_row"), F.count("*").alias("n")).where("n = 1")
-    found = stars(links(mentions, centres))
+    centres = cut(users.groupBy("block", "name").agg(F.min("user_row").alias("user_row"), F.count("*").alias("n")).where("n = 1"))
+    found = stars(cut(links(mentions, centres)))
     found = found.join(centres.select("block", F.col("name").alias("person"), "user_row"), ["block", "person"])
     return mentions.join(found.withColumnRenamed("mention", "name"), ["block", "name"]).select("mention_table", "mention_id", F.col("pos").cast("int").alias("pos"), "user_row", "similarity")
 
