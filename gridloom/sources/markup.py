@@ -161,7 +161,7 @@ def split_pipe_row(line: str) -> list[str]:
     return [c.replace("\\|", "|").strip() for c in cells]
 
 
-_RULE = re.compile(r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)*\|?\s*$")
+_RULE = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
 
 
 def parse_markup(text: str, name: str = "") -> list[Parsed]:
