@@ -16,6 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +24,8 @@ from pyspark.sql import types as T
 from gridloom.functions.plainform import LATIN_MARKS, LOOK_ALIKES, MIXED_TEXT, replacements
 
 TOP = 0x30000
+#: Bytes of text handled at once.
+CHUNK = 2_000_000
 L, V, TT, S = 0x1100, 0x1161, 0x11A7, 0xAC00
 
 
@@ -240,10 +243,16 @@ def with_plain(df: DataFrame, column: str, out: str = "plain", flag: str = "diff
         raise ValueError(f"{out!r} or {flag!r} is a column already")
 
     def kernel(batches):
-        for b in batches:
-            plain, differs = plain_column(b.column(b.schema.get_field_index(column)))
-            arrays = [*b.columns, plain.cast(pa.string()), pa.array(differs)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, out, flag])
+        for whole in batches:
+            k = whole.schema.get_field_index(column)
+            size = np.asarray(pc.fill_null(pc.binary_length(whole.column(k)), 0)).astype(np.int64)
+            piece, at = np.cumsum(size) // CHUNK, 0
+            while at < whole.num_rows:  # a longer text is a piece of its own
+                end = max(at + 1, int(np.searchsorted(piece, piece[at], side="right")))
+                b = whole.slice(at, end - at)
+                plain, differs = plain_column(b.column(k))
+                yield pa.RecordBatch.from_arrays([*b.columns, plain.cast(pa.string()), pa.array(differs)], names=[*b.schema.names, out, flag])
+                at = end
 
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(flag, T.BooleanType())])
     return df.mapInArrow(kernel, schema)
