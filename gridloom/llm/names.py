@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,7 @@ def bands(like: float = LIKE, recall: float = RECALL, most: int = ROWS) -> tuple
     return most, 1
 
 
+@lru_cache(maxsize=50_000)
 def parts(name: str | None) -> tuple[str, ...]:
     """The parts of a name as typed: Hangul syllables, or lower-case Latin words and initials; without titles and remarks."""
     text = plain_form(name) or ""
@@ -75,6 +77,7 @@ def roman(syllable: str) -> str:
     return LEADS[i // 588] + VOWELS[i % 588 // 28] + TAILS[i % 28]
 
 
+@lru_cache(maxsize=50_000)
 def forms(name: tuple[str, ...]) -> list[tuple[float, tuple[str, ...]]]:
     """(weight, parts) of the forms in which a listed person may be written; 1 for the whole name."""
     out: list[tuple[float, tuple[str, ...]]] = [(1.0, name)]
@@ -103,6 +106,7 @@ def _letters(part: str) -> str:
     return part
 
 
+@lru_cache(maxsize=200_000)
 def _like(a: str, b: str) -> float:
     """Similarity of two parts: shared letters of two syllables, or 1 - edits / length of two words."""
     if a == b:
