@@ -212,9 +212,11 @@ def compile_specs(specs: DataFrame, cells: DataFrame, types: list[str] | None =
 
 def evaluate(specs: DataFrame, cells: DataFrame, types: list[str] | None = None) -> DataFrame:
     """One row per check: spec_id, table_id, type, part, row_index, col_index, current_value, expected_value, difference, tolerance, passed, status, severity."""
+    if types is not None:
+        specs = specs.where(F.col("type").isin(*types))
     values = cell_values(cells)
     edges = compile_specs(specs, cells, types)
-    plan = F.create_map(*[x for k, v in PLAN.items() for x in (F.lit(k), F.struct(F.lit(v[0]).alias("formula"), F.lit(v[1]).alias("strict"), F.lit(v[2]).alias("of_target"), F.lit(v[3]).alias("of_operand"), F.lit(v[4]).alias("least")))])
+    plan = F.create_map(*[x for k, v in PLAN.items() if types is None or k in types for x in (F.lit(k), F.struct(F.lit(v[0]).alias("formula"), F.lit(v[1]).alias("strict"), F.lit(v[2]).alias("of_target"), F.lit(v[3]).alias("of_operand"), F.lit(v[4]).alias("least")))])
     meta = specs.select("spec_id", "type", "label", "severity", "failure_status", "check_group", "tolerance", "change_tolerance", "multiplier", F.coalesce("allow_single_operand", F.lit(False)).alias("single")).withColumn("plan", plan[F.col("type")]).select("*", "plan.*").drop("plan")
     pick = lambda kind: F.coalesce(*[F.when(kind == p, F.col(c)) for p, c in (("raw", "raw"), ("target", "target"), ("operand", "operand"), ("cross_zero", "cross_zero"), ("cross_null", "cross_null"), ("leading", "leading"))])
     e = edges.join(meta.select("spec_id", "of_operand", "formula"), "spec_id")
@@ -246,7 +248,7 @@ def evaluate(specs: DataFrame, cells: DataFrame, types: list[str] | None = None)
     )
     least = F.when(F.col("single"), F.least("least", F.lit(1))).otherwise(F.col("least"))
     valid = F.when(F.col("formula") == "WAVG", True).when(F.col("strict"), (F.col("n_null") == 0) & (F.col("n") >= least)).otherwise(F.col("n") - F.col("n_null") >= least)
-    default = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in DEFAULT_TOLERANCE.items()], F.lit(1.0))
+    default = F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in DEFAULT_TOLERANCE.items() if types is None or k in types], F.lit(1.0))
     base = F.when(change, F.coalesce("change_tolerance", F.lit(1.0))).otherwise(F.coalesce("tolerance", default))
     floored = F.col("type").isin(*FLOORED) | F.col("check_group").isin("sum", "ratio")
     tol = F.greatest(F.when(floored & (F.col("type") != "cross_table_weighted_average") & (F.col("type") != "cross_table_cell_match"), F.greatest(base, F.lit(1.0))).otherwise(base), F.when(F.col("type").isin(*SHOWN_WHOLE) & (base <= 0.15) & F.col("whole"), F.lit(0.5)).otherwise(F.lit(0.0)))
