@@ -21,9 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gridloom.functions.plainform import LATIN_MARKS, LOOK_ALIKES, MIXED_TEXT, replacements
+from gridloom.functions.plainform import INVISIBLE_RANGES, LATIN_MARKS, LOOK_ALIKES, MIXED_TEXT, replacements
 
 TOP = 0x30000
+#: Entries of the lookup tables behind those of the code points: ideographs beyond TOP, invisible characters, all else.
+FAR, HIDDEN, OTHER = TOP, TOP + 1, TOP + 2
+SIZE = TOP + 3
 #: Bytes of text handled at once.
 CHUNK = 2_000_000
 L, V, TT, S = 0x1100, 0x1161, 0x11A7, 0xAC00
@@ -31,12 +34,12 @@ L, V, TT, S = 0x1100, 0x1161, 0x11A7, 0xAC00
 
 @lru_cache(maxsize=1)
 def _tables() -> dict[str, np.ndarray]:
-    """Lookup tables by code point; TOP stands for all beyond (ideographs and private use, which stay)."""
+    """Lookup tables by code point; three more entries stand for all beyond TOP (see entries)."""
     rep = replacements()
     outs: list[str] = []
-    index = np.zeros(TOP + 1, np.int32)  # 0: itself
-    touched = np.zeros(TOP + 1, bool)
-    combining = np.zeros(TOP + 1, np.uint8)
+    index = np.zeros(SIZE, np.int32)  # 0: itself
+    touched = np.zeros(SIZE, bool)
+    combining = np.zeros(SIZE, np.uint8)
     for c in range(0x80, TOP):
         if 0xD800 <= c < 0xE000 or 0xAC00 <= c < 0xD7A4 or 0x4E00 <= c < 0xA000 or 0x20000 <= c < 0x2F800:
             continue
@@ -54,6 +57,8 @@ def _tables() -> dict[str, np.ndarray]:
             index[c], touched[c] = len(outs), True
     for c in {ord(x) for s in [*LOOK_ALIKES.values(), *LATIN_MARKS.values()] for x in s}:
         touched[c] = True
+    outs.append("")
+    index[HIDDEN], touched[HIDDEN] = len(outs), True
     lens = np.array([1] + [len(x) for x in outs], np.int32)
     starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int32)
     chars = np.frombuffer(("\0" + "".join(outs)).encode("utf-32-le"), np.uint32).astype(np.int32)
@@ -66,26 +71,39 @@ def _tables() -> dict[str, np.ndarray]:
                 pairs.append(a << 21 | b)
                 comp.append(c)
     order = np.argsort(pairs)
-    look = np.zeros(TOP + 1, np.int32)
+    look = np.zeros(SIZE, np.int32)
     for to, signs in LOOK_ALIKES.items():
         for x in signs:
             look[ord(x)] = ord(to)
-    marks = np.zeros(TOP + 1, np.int32)
+    marks = np.zeros(SIZE, np.int32)
     for to, signs in LATIN_MARKS.items():
         for x in signs:
             marks[ord(x)] = ord(to)
-    latin, word = np.zeros(TOP + 1, bool), np.zeros(TOP + 1, bool)
+    latin, word = np.zeros(SIZE, bool), np.zeros(SIZE, bool)
     for a, b in ((0x41, 0x5A), (0x61, 0x7A), (0xC0, 0xD6), (0xD8, 0xF6), (0xF8, 0x24F), (0x1E00, 0x1EFF)):
         latin[a : b + 1] = True
     word |= latin
     for a, b in ((0x300, 0x36F), (0x370, 0x3FF), (0x400, 0x52F), (0x1F00, 0x1FFF)):
         word[a : b + 1] = True
-    mixed = np.zeros(TOP + 1, bool)
+    mixed = np.zeros(SIZE, bool)
     for a, b in MIXED_TEXT:
-        mixed[a : min(b, TOP) + 1] = True
+        mixed[a : min(b, FAR) + 1] = True
     return {"index": index, "touched": touched, "ccc": combining, "lens": lens, "starts": starts, "chars": chars, "pairs": np.array(pairs, np.int64)[order], "comp": np.array(comp, np.int32)[order], "look": look, "marks": marks, "latin": latin, "word": word, "mixed": mixed}
 
 
+def entries(points: np.ndarray) -> np.ndarray:
+    """The entry of the lookup tables for each code point."""
+    out = np.minimum(points, OTHER)
+    far = np.flatnonzero(points >= TOP)
+    if len(far):
+        x = points[far]
+        hidden = np.zeros(len(x), bool)
+        for a, b in INVISIBLE_RANGES:
+            hidden |= (x >= a) & (x <= b)
+        out[far] = np.where(hidden, HIDDEN, np.where(x < 0x40000, FAR, OTHER))
+    return out
+
+
 def code_points(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The code points of all rows one after another, and each row's offsets (n + 1); null rows are empty."""
     column = column.cast(pa.large_string())
@@ -108,7 +126,7 @@ def texts(points: np.ndarray, offs: np.ndarray, null: np.ndarray) -> pa.Array:
 
 def _compose(p: np.ndarray, row: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
     """Canonical order and composition of decomposed code points; a row's text never mixes with the next."""
-    at = lambda a: t["ccc"][np.minimum(a, TOP)]
+    at = lambda a: t["ccc"][entries(a)]
     ccc = at(p)
     if ccc.any():  # canonical order: a stable sort by (run of marks, class)
         run = np.cumsum((ccc == 0) | np.concatenate([[True], row[1:] != row[:-1]]))
@@ -170,7 +188,7 @@ def plain_points(points: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     """Plain form of the rows that hold anything to do: their numbers, new code points and new offsets."""
     t = _tables()
     n = len(offs) - 1
-    touched = np.concatenate([[0], np.cumsum(t["touched"][np.minimum(points, TOP)], dtype=np.int64)])
+    touched = np.concatenate([[0], np.cumsum(t["touched"][entries(points)], dtype=np.int64)])
     rows = np.flatnonzero(touched[offs[1:]] > touched[offs[:-1]])
     if not len(rows):
         return rows, points[:0], np.zeros(1, np.int64)
@@ -180,7 +198,7 @@ def plain_points(points: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     # A carriage return before a line feed is part of the same break.
     pair = np.concatenate([(p[:-1] == 13) & (p[1:] == 10) & (row[:-1] == row[1:]), [False]])
     p, row = p[~pair], row[~pair]
-    which = t["index"][np.minimum(p, TOP)]
+    which = t["index"][entries(p)]
     size = np.where(which > 0, t["lens"][which], 1)
     src = np.repeat(np.arange(len(p)), size)
     within = np.arange(len(src)) - np.repeat(np.cumsum(size) - size, size)
@@ -188,12 +206,12 @@ def plain_points(points: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     p = np.where(w > 0, t["chars"][np.minimum(t["starts"][w] + within, len(t["chars"]) - 1)], p[src]).astype(np.int32)
     row = row[src]
     p, row = _compose(p, row, t)
-    low = np.minimum(p, TOP)
+    low = entries(p)
     has_mixed = np.zeros(len(rows), bool)
     has_mixed[row[t["mixed"][low]]] = True
     m = t["marks"][low]
     p = np.where((m > 0) & ~has_mixed[row], m, p)
-    low = np.minimum(p, TOP)
+    low = entries(p)
     letter = t["word"][low]
     if len(p):
         start = letter & ~np.concatenate([[False], letter[:-1] & (row[1:] == row[:-1])])

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from gridloom.functions.plainform import plain_form
+from gridloom.functions.plainform import INVISIBLE_RANGES, plain_form
 from gridloom.llm import leakage, names, repetition, tokens
 from gridloom.llm.canonical import mapping
 from gridloom.llm.letters import letters, window_hash
@@ -26,6 +26,15 @@ def test_plain_kernel_agrees_with_plain_form():
     assert differs.tolist() == [a != b for a, b in zip(rows, want)]
 
 
+def test_plain_kernel_takes_out_all_that_is_invisible():
+    rows = [f"葛{chr(c)}1" for a, b in INVISIBLE_RANGES for c in range(a, b + 1)]
+    rows += [f"{x}{chr(c)}\u2019" for x in ("a", "") for c in (0x2FFFF, 0x30000, 0x3134A, 0x3FFFF, 0x40000, 0xDFFFF, 0xE0000, 0xE0FFF, 0xE1000, 0xF0000, 0x10FFFF)]
+    out, differs = plain_column(pa.array(rows))
+    want = [plain_form(x) for x in rows]
+    assert out.to_pylist() == want
+    assert differs.tolist() == [a != b for a, b in zip(rows, want)]
+
+
 def test_plain_frames(spark):
     df = spark.createDataFrame([(1, "Ａ", "x"), (2, None, None), (3, "", "y"), (4, "ok", "z"), (1, "Ａ", "x")], "id long, text string, plain_ string")
     assert sorted(r.row_id for r in not_plain(df, "f", "id", "text").collect()) == [1, 1]
