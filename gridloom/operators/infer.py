@@ -207,12 +207,17 @@ def overlay(specs: DataFrame, suppress: DataFrame, confidences: DataFrame, added
     return s.select(*edges.SPEC.names).join(added.select("spec_id"), "spec_id", "left_anti").unionByName(added)
 
 
-def profiles(old: DataFrame, tables: DataFrame) -> DataFrame:
-    """How each table gets its profile. old: table_code, title, signature, profile_id; tables: table_id, table_code, title, signature.
+def profiles(tables: DataFrame) -> DataFrame:
+    """How each table gets its profile. tables: table_id, table_code, title, signature, turn (an int: the place of its delivery in time).
 
-    The same code and structure: reused; the same title and structure: inherited; else drafted. Of several the latest counts.
+    From the tables of earlier turns: the same code and structure: reused; the same title and structure: inherited; else
+    drafted. Of several the latest turn counts, in it the largest id. A table without a turn gets and gives nothing.
     """
-    a = old.groupBy("table_code", "signature").agg(F.max("profile_id").alias("own"))
-    b = old.groupBy("title", "signature").agg(F.max("profile_id").alias("akin"))
-    t = tables.join(a, ["table_code", "signature"], "left").join(b, ["title", "signature"], "left")
+    past = F.max(F.when(F.col("turn").isNotNull(), F.struct("turn", "table_id")))
+
+    def latest(key: str) -> Column:
+        w = W.partitionBy(key, "signature").orderBy("turn").rangeBetween(W.unboundedPreceding, -1)
+        return F.when(F.col(key).isNotNull() & F.col("signature").isNotNull() & F.col("turn").isNotNull(), past.over(w)["table_id"])
+
+    t = tables.withColumn("own", latest("table_code")).withColumn("akin", latest("title"))
     return t.select("table_id", F.coalesce("own", "akin").alias("profile_id"), F.when(F.col("own").isNotNull(), "reused").when(F.col("akin").isNotNull(), "inherited").otherwise("draft").alias("origin"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.operators import grids, infer
@@ -40,10 +41,7 @@ def infer_yearbook(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("infer_profile_origin")
 def infer_profile_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Profiles of each year from those of the years before, by structure signature."""
-    t = table(spark, sf_dir, "stat_tables").select(F.col("id").alias("table_id"), F.col("code").alias("table_code"), "title", "report_id")
-    s = cut(t.join(grids.structure_signatures(cells_of(spark, sf_dir)), "table_id"))
-    old = s.where("report_id <> 8").select("table_code", "title", "signature", F.col("table_id").alias("profile_id"))
-    return infer.profiles(old, s.where("report_id = 8").drop("report_id"))
-
-
+    """Profiles of the tables of each delivery from those imported before it, by structure signature."""
+    turn = table(spark, sf_dir, "annual_reports").where("imported_at is not null").select(F.col("id").alias("report_id"), F.dense_rank().over(W.orderBy("imported_at")).alias("turn"))  # a few rows
+    t = table(spark, sf_dir, "stat_tables").select(F.col("id").alias("table_id"), F.col("code").alias("table_code"), "title", "report_id").join(turn, "report_id", "left").drop("report_id")
+    return infer.profiles(t.join(grids.structure_signatures(cells_of(spark, sf_dir)), "table_id"))
