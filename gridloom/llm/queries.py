@@ -11,7 +11,7 @@ from gridloom.llm.canonical import p3_found
 from gridloom.llm.leakage import p8_found, p8_leaks
 from gridloom.llm.names import p4_found, p4_links
 from gridloom.llm.plain_text import not_plain
-from gridloom.llm.repetition import p9_found, p9_lines, p9_share
+from gridloom.llm.repetition import p9_found, p9_host_lines, p9_lines, p9_share
 from gridloom.llm.tokens import p7_ids
 from gridloom.session import table
 
@@ -32,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p9_found": p9_found,
     "p9_share": p9_share,
     "p9_lines": p9_lines,
+    "p9_host_lines": p9_host_lines,
 }
 # White space as Java's (?U)\s knows it.
 BLANKS = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -47,3 +48,4 @@ s AS (SELECT doc_id, sum(lines) AS lines, sum(CASE WHEN out THEN lines ELSE 0 EN
 SELECT d.doc_id, CAST(coalesce(lines, 0) AS BIGINT) AS lines, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(chars, 0) AS BIGINT) AS chars, CAST(coalesce(chars_left, 0) AS BIGINT) AS chars_left,
 coalesce(chars, 0) > 0 AND chars_left < 0.5 * chars AS rejected FROM d LEFT JOIN s USING (doc_id)""",
 }
+ORACLE["p9_host_lines"] = ORACLE["p9_lines"].replace("HAVING count(*) > 20 AND", "HAVING count(*) > 2 AND")

@@ -116,3 +116,8 @@ def host_lines(df: DataFrame, id_column: str, host_column: str, text_column: str
 
 def p9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_lines(table(spark, sf_dir, "documents"), "doc_id", "source", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_host_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by their share of the host's documents alone, alike for hosts of every size; three documents at least, as with fewer a share says little."""
+    return host_lines(table(spark, sf_dir, "documents"), "doc_id", "source", "text", most=2, most_share=0.05).withColumnRenamed("id", "doc_id")

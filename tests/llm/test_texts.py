@@ -1,15 +1,17 @@
 """Vectorised kernels against plain ones, and the edge cases of every text operator."""
 
+import os
 import random
 import unicodedata
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from gridloom.functions.plainform import INVISIBLE_RANGES, plain_form
-from gridloom.llm import leakage, names, repetition, tokens
+from gridloom.llm import leakage, names, queries, repetition, tokens
 from gridloom.llm.canonical import mapping
 from gridloom.llm.letters import letters, window_hash
 from gridloom.llm.plain_text import not_plain, plain_column, with_plain
@@ -205,3 +207,23 @@ def test_window_hash_is_place_free():
     p, _ = letters(["abcabcabc"])
     h = window_hash(p, 3)
     assert h[0] == h[3] == h[6] and len(set(h.tolist())) == 3
+
+
+def test_shared_lines_of_small_and_large_hosts(spark, tmp_path):
+    rows = [(f"{n}", i, "shared line" if i % 10 == 0 else f"own {'abcdefghij'[i % 10] * (i + 1)}") for n in (30, 300) for i in range(n)]
+    spark.createDataFrame([(k, h, t) for k, (h, _, t) in enumerate(rows)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id for r in queries.QUERIES["p9_host_lines"](spark, str(tmp_path)).where("removed > 0").collect()}
+    assert got == {k for k, (_, i, _) in enumerate(rows) if i % 10 == 0}
+
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+def test_shared_lines_are_removed_on_the_real_tables(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = con.execute(queries.ORACLE["p9_host_lines"]).fetchall()
+    got = queries.QUERIES["p9_host_lines"](spark, SF).select("doc_id", "lines", "removed", "chars", "chars_left", "rejected").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sum(r.removed for r in got) > 0
