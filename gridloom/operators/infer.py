@@ -17,8 +17,6 @@ from gridloom.functions import text as X
 from gridloom.operators import edges, grids
 from gridloom.session import cut
 
-#: A grid with more numeric columns than this has no pairs of columns tried against each other.
-MOST_COLUMNS = 10
 MALE, FEMALE = "^(남|남성|남자|male)", "^(여|여성|여자|female)"
 
 
@@ -103,10 +101,10 @@ def region_totals(columns: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def same_row_ratios(columns: DataFrame) -> DataFrame:
-    """A ratio column from every ordered pair of value columns of its grid, times 100 or 1; only in grids of bounded width."""
+    """A ratio column from every ordered pair of value columns of its grid, whatever its width, times 100 or 1."""
     v = columns.where("not is_ratio and numbers > 0")
-    narrow = v.groupBy("table_id").agg(F.array_sort(F.collect_list("col_index")).alias("cols")).where(F.size("cols").between(2, MOST_COLUMNS))
-    c = columns.where("is_ratio").join(narrow, "table_id").withColumn("n", F.explode("cols")).withColumn("d", F.explode("cols")).where("n <> d").withColumn("m", F.explode(F.array(F.lit(100.0), F.lit(1.0))))
+    values = v.groupBy("table_id").agg(F.array_sort(F.collect_list("col_index")).alias("cols"))
+    c = columns.where("is_ratio").join(values, "table_id").withColumn("n", F.explode("cols")).withColumn("d", F.explode("cols")).where("n <> d").withColumn("m", F.explode(F.array(F.lit(100.0), F.lit(1.0))))
     return spec_rows(c, "row_ratio", "ratio", target_column=F.col("col_index"), numerator_column=F.col("n"), denominator_columns=F.array("d"), multiplier=F.col("m"), tolerance=0.15)
 
 

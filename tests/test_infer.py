@@ -8,6 +8,11 @@ import __spark_entry__ as entry
 from gridloom.operators import infer
 
 SF = "/root/testdata/sf0.001"
+CELL = "table_id long, row_index int, col_index int, text_value string, numeric_value double, is_header boolean"
+
+
+def grid(spark, matrix, header_rows=1):
+    return spark.createDataFrame([(1, i, j, str(v), None, i < header_rows) for i, r in enumerate(matrix) for j, v in enumerate(r) if v is not None], CELL)
 
 
 def test_profiles_come_from_earlier_deliveries(spark):
@@ -26,3 +31,12 @@ def test_every_table_has_an_origin_before_it(spark):
     got = {r.table_id: r.profile_id for r in entry.queries()["infer_profile_origin"](spark, SF).collect()}
     assert set(got) == with_cells & set(at)
     assert all(at[p] < at[t] for t, p in got.items() if p is not None)
+
+
+def test_ratio_of_a_wide_grid(spark):
+    width = 14
+    rows = [[f"행{i}", *[(i * 37 + j * j * 11) % 97 + 20 for j in range(width)]] for i in range(1, 7)]
+    m = [["구분", *[f"값{'가나다라마바사아자차카타파하'[j]}" for j in range(width)], "비율(%)"], *[[*r, round(100 * r[3] / r[12], 3)] for r in rows]]
+    cells = grid(spark, m)
+    found = infer.inferred(cells, specs=infer.same_row_ratios(infer.structure(cells)[0])).collect()
+    assert [(r.target_column, r.numerator_column, r.denominator_columns, r.multiplier) for r in found] == [(width + 1, 3, [12], 100.0)]
