@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridloom.operators import grids, infer
+from gridloom.operators import crosstable, edges, grids, infer
 from gridloom.plans.checks import GRID, N, order_grid
 from gridloom.plans.grids import cells_of
 from gridloom.plans.registry import query
@@ -45,3 +45,33 @@ def infer_profile_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     turn = table(spark, sf_dir, "annual_reports").where("imported_at is not null").select(F.col("id").alias("report_id"), F.dense_rank().over(W.orderBy("imported_at")).alias("turn"))  # a few rows
     t = table(spark, sf_dir, "stat_tables").select(F.col("id").alias("table_id"), F.col("code").alias("table_code"), "title", "report_id").join(turn, "report_id", "left").drop("report_id")
     return infer.profiles(t.join(grids.structure_signatures(cells_of(spark, sf_dir)), "table_id"))
+
+
+SUMS = ["row_sum", "column_sum", "region_total", "row_arithmetic"]
+RATIOS = ["row_ratio", "column_share_ratio", "row_ratio_by_rows"]
+
+
+def _yearbook_checks(spark: SparkSession, sf_dir: str, types: list[str]) -> DataFrame:
+    """Every candidate spec of the given types over all grids of the yearbook, one row per check."""
+    cells = cut(cells_of(spark, sf_dir))
+    return edges.evaluate(cut(infer.candidates(cells)), cells, types).select("spec_id", "table_id", "type", "row_index", "col_index", "current_value", "expected_value", "passed")
+
+
+@query("chk_yearbook_sums")
+def chk_yearbook_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _yearbook_checks(spark, sf_dir, SUMS)
+
+
+@query("chk_yearbook_ratios")
+def chk_yearbook_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _yearbook_checks(spark, sf_dir, RATIOS)
+
+
+@query("xtb_split_parts")
+def xtb_split_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over the parts of every split table: the tables of a report whose codes differ in the part number alone."""
+    t = table(spark, sf_dir, "stat_tables")
+    parts = t.select(F.col("id").alias("table_id"), F.concat_ws("|", "report_id", crosstable.base_code(F.col("code"))).alias("base_code"), crosstable.part_number(F.col("code")).alias("part")).where("part is not null")
+    cells = cut(cells_of(spark, sf_dir).join(parts.select("table_id"), "table_id", "left_semi"))
+    out = crosstable.split_part_totals(cells, parts, least_passed=0.6)
+    return out.select("table_id", "row_index", "col_index", "current_value", "expected_value", "passed")

@@ -40,3 +40,30 @@ def test_ratio_of_a_wide_grid(spark):
     cells = grid(spark, m)
     found = infer.inferred(cells, specs=infer.same_row_ratios(infer.structure(cells)[0])).collect()
     assert [(r.target_column, r.numerator_column, r.denominator_columns, r.multiplier) for r in found] == [(width + 1, 3, [12], 100.0)]
+
+
+def yearbook(spark, at, tables, cells):
+    """The two tables of the yearbook in a folder: tables (id, report_id, code), cells as of grid."""
+    spark.createDataFrame(tables, "id long, report_id long, code string").write.parquet(f"{at}/stat_tables.parquet")
+    spark.createDataFrame([(k, *c, None) for k, c in enumerate(cells)], f"id long, {CELL}, footnote_marker string").write.parquet(f"{at}/stat_table_cells.parquet")
+
+
+def test_parts_of_every_split_table(spark, tmp_path):
+    one = [["구분", "합계 Total", "가"], *[[f"행{'가나다라마바'[i]}", 10 + 3 * i, i] for i in range(6)]]
+    two = [["구분", "나", "다"], *[[f"행{'가나다라마바'[i]}", 4 + i, 6 + i] for i in range(6)]]
+    wrong = [["구분", "나", "다"], *[[f"행{'가나다라마바'[i]}", 4 + i, 6 + i + 5 * (i == 2)] for i in range(6)]]
+    cells = [(t, i, j, str(v), None, i == 0) for t, m in ((11, one), (12, two), (21, one), (22, wrong), (31, two)) for i, r in enumerate(m) for j, v in enumerate(r)]
+    yearbook(spark, tmp_path, [(11, 1, "7-1 표1"), (12, 1, "7-1 표2"), (21, 2, "7-1 표1"), (22, 2, "7-1 표2"), (31, 2, "7-2")], cells)
+    got = {(r.table_id, r.row_index): r.passed for r in entry.queries()["xtb_split_parts"](spark, str(tmp_path)).collect()}
+    assert got == {(t, i): (t, i) != (21, 3) for t in (11, 21) for i in range(1, 7)}
+
+
+def test_sums_and_ratios_over_all_grids(spark, tmp_path):
+    m = [["구분", "계", "가", "나", "비율(%)"], *[[f"행{'가나다라마'[i]}", 3 * i + 8, i + 4, 2 * i + 4, round(100 * (i + 4) / (3 * i + 8), 2)] for i in range(5)]]
+    m[2][1] += 50
+    cells = [(t, i, j, str(v), None, i == 0) for t in (3, 700) for i, r in enumerate(m) for j, v in enumerate(r)]
+    yearbook(spark, tmp_path, [(3, 1, "1-1"), (700, 2, "1-1")], cells)
+    sums = entry.queries()["chk_yearbook_sums"](spark, str(tmp_path)).where("type = 'row_sum'").collect()
+    assert {(r.table_id, r.row_index): r.passed for r in sums} == {(t, i): i != 2 for t in (3, 700) for i in range(1, 6)}
+    ratios = entry.queries()["chk_yearbook_ratios"](spark, str(tmp_path)).where("type = 'row_ratio' and passed").collect()
+    assert {(3, 1), (700, 1)} <= {(r.table_id, r.row_index) for r in ratios}
