@@ -2,8 +2,9 @@
 
 Records of all snapshots become compact arrays (key hash, row hash, version, handle): they are shuffled once by key
 hash, and each partition sorts them in numpy and finds added, removed and changed keys as set differences with
-searchsorted. Only then the full values of the differing keys are fetched again, to name them and to check that rows
-whose hashes differ do differ. Keys carry 128 bits of hash.
+searchsorted. Only the code of a differing record is looked up again, by its label cell; values are not fetched: rows
+whose hashes differ do differ, and that rows of equal hashes are equal rests on a 64-bit hash of the sum of their values'
+64-bit hashes and of their count. Keys carry 128 bits of hash.
 
 Defined results: an empty snapshot makes all records of its neighbour added or removed; a key occurring more than once
 in a version counts once, with all of its rows' values; null values equal null values.
@@ -134,7 +135,7 @@ def yearbook_changes(spark: SparkSession, reports: DataFrame, tables: DataFrame,
         .agg(F.sum("h").alias("h"), F.sum("n").alias("n"), F.min("label_id").alias("label_cell_id"), F.first("before").alias("before"), F.first("after").alias("after"))
     )
     found = snapshot_changes(records, ["code", "label"], F.xxhash64("h", "n"), "year", "label_cell_id", F.col("before"), F.col("after"))
-    # The full values only of what differs: its label cell names the table and so the code.
+    # Only of what differs: its label cell names the table and so the code.
     named = found.join(labels.select(F.col("label_id").alias("handle"), "table_id"), "handle").join(t.select("table_id", "code"), "table_id")
     return named.select(F.col("version").cast("int").alias("year"), "code", F.col("handle").alias("label_cell_id"), "change_kind")
 
