@@ -25,7 +25,7 @@ def spec_rows(df: DataFrame, kind: str, group: str, **fields) -> DataFrame:
     given = {"table_id": F.col("table_id"), "type": F.lit(kind), "check_group": F.lit(group), "severity": F.lit("warning")} | {k: v if isinstance(v, Column) else F.lit(v) for k, v in fields.items()}
     cols = [given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in edges.SPEC.fields]
     out = df.select(*cols)
-    key = F.concat_ws(":", "type", "table_id", *[F.to_json(F.struct(c)) for c in ("target_row", "target_column", "operand_columns", "operand_rows", "columns", "terms", "numerator_column", "denominator_columns", "denominator_row", "multiplier", "current_column", "previous_column", "row_pairs", "row_indices")])
+    key = F.concat_ws(":", "type", "table_id", *[F.to_json(F.struct(c)) for c in ("target_row", "target_column", "operand_columns", "operand_rows", "columns", "terms", "numerator_column", "denominator_columns", "denominator_row", "numerator_row", "denominator_rows", "multiplier", "current_column", "previous_column", "row_pairs", "row_indices")])
     return out.withColumn("spec_id", F.concat_ws(":", "type", "table_id", F.hex(F.xxhash64(key))))
 
 
@@ -40,8 +40,10 @@ def structure(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
         (key.isin("계", "합계", "총계", "소계", "total", "subtotal") | X.normalize(F.col("head")).rlike("(계|합계)total$")).alias("is_total"),
         X.is_ratio(F.col("head")).alias("is_ratio"), X.is_additive(F.col("head")).alias("additive"), key.rlike(MALE).alias("male"), key.rlike(FEMALE).alias("female"), X.year_of(F.col("leaf")).alias("year"),
     )
-    l = grids.combined_labels(cells)  # noqa: E741
-    rows = l.select("table_id", "row_index", "label", X.is_total(F.col("label")).alias("is_total"), X.is_ratio(F.col("label")).alias("is_ratio"), X.normalize(F.col("label")).rlike("증감률|증가율|성장률|growthrate").alias("is_growth"), X.year_of(F.col("label")).alias("year"), F.substring(X.display(F.col("label")), 1, 2).isin(*[k for k in X.REGIONS if len(k) == 2]).alias("region"))
+    c = cells.where("not is_header").join(labels, "table_id").where(F.array_contains("label_columns", F.col("col_index")))
+    last = c.groupBy("table_id", "row_index").agg(F.max_by(X.display(F.col("text_value")), F.when(X.display(F.col("text_value")) != "", F.col("col_index"))).alias("leaf_label"))
+    l = grids.combined_labels(cells).join(last, ["table_id", "row_index"])  # noqa: E741
+    rows = l.select("table_id", "row_index", "label", "leaf_label", X.is_total(F.col("label")).alias("is_total"), X.is_ratio(F.col("label")).alias("is_ratio"), X.normalize(F.col("label")).rlike("증감률|증가율|성장률|growthrate").alias("is_growth"), X.year_of(F.col("label")).alias("year"), F.substring(X.display(F.col("label")), 1, 2).isin(*[k for k in X.REGIONS if len(k) == 2]).alias("region"))
     return columns, rows
 
 
@@ -53,17 +55,20 @@ def header_symbols(columns: DataFrame) -> DataFrame:
 
 
 def header_formulas(columns: DataFrame) -> DataFrame:
-    """`(c=a+b)` becomes row_arithmetic; `(a/b)` and `(a/b*100)` row_ratio; `(a)`, `(b)` with `(a-b)/b` row_growth_rate."""
+    """`(c=a+b)` becomes row_arithmetic; `(a/b)`, `(a/b*100)` and `a/(b+c)` row_ratio; `(a)`, `(b)` with `(a-b)/b` row_growth_rate."""
     c = columns.join(header_symbols(columns), "table_id").withColumn("h", F.lower(F.regexp_replace("head", X.WS, "")))
     sums = c.withColumn("f", F.explode(F.regexp_extract_all("h", F.lit(r"\(([a-z]=[a-z](?:[+-][a-z])+)\)"), F.lit(1)))).withColumn("target", F.col("symbols")[F.substring("f", 1, 1)])
     terms = F.transform(F.regexp_extract_all(F.concat(F.lit("+"), F.substring("f", 3, 100)), F.lit(r"[+-][a-z]"), F.lit(0)), lambda t: F.struct(F.substring(t, 1, 1).alias("op"), F.col("symbols")[F.substring(t, 2, 1)].alias("column")))
     sums = sums.withColumn("terms", terms).where(~F.exists("terms", lambda t: t["column"].isNull()) & F.col("target").isNotNull())
     ratio = r"\(([a-z])/([a-z])(?:[*x×]100)?\)"
     r = c.where(F.col("h").rlike(ratio)).withColumns({"n": F.col("symbols")[F.regexp_extract("h", ratio, 1)], "d": F.col("symbols")[F.regexp_extract("h", ratio, 2)]}).where("n is not null and d is not null")
+    several = r"([a-z])/\(([a-z](?:\+[a-z])+)\)"
+    m = c.where(F.col("h").rlike(several)).withColumns({"n": F.col("symbols")[F.regexp_extract("h", several, 1)], "d": F.transform(F.split(F.regexp_extract("h", several, 2), r"\+"), lambda x: F.col("symbols")[x])}).where(F.col("n").isNotNull() & F.forall("d", lambda x: x.isNotNull()))
     g = c.where(F.col("h").rlike(r"\(a-b\)/b|증감률|증가율|growthrate") & ~F.col("h").rlike(r"\([ab]\)")).withColumns({"cur": F.col("symbols")[F.lit("a")], "prev": F.col("symbols")[F.lit("b")]}).where("cur is not null and prev is not null")
     return reduce(DataFrame.unionAll, [
         spec_rows(sums, "row_arithmetic", "sum", target_column=F.col("target"), terms=F.col("terms"), confidence=0.98),
         spec_rows(r, "row_ratio", "ratio", target_column=F.col("col_index"), numerator_column=F.col("n"), denominator_columns=F.array("d"), multiplier=F.when(F.col("h").contains("100)") | F.col("is_ratio"), 100.0).otherwise(1.0), tolerance=0.15, confidence=0.98),
+        spec_rows(m, "row_ratio", "ratio", target_column=F.col("col_index"), numerator_column=F.col("n"), denominator_columns=F.col("d"), multiplier=100.0, tolerance=0.15, confidence=0.98),
         spec_rows(g, "row_growth_rate", "growth_rate", target_column=F.col("col_index"), current_column=F.col("cur"), previous_column=F.col("prev"), tolerance=0.15, confidence=0.98),
     ])
 
@@ -131,6 +136,28 @@ def ratio_rows(columns: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
+def component_ratio_rows(columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """A ratio row as the share of a part in the part and its complement: the first two value rows among the three after it."""
+    cols = columns.where("numbers > 0").groupBy("table_id").agg(F.array_sort(F.collect_list("col_index")).alias("cols"))
+    w = W.partitionBy("table_id").orderBy("row_index").rowsBetween(1, 3)
+    value = F.when(~F.col("is_ratio") & ~F.col("is_growth") & ~F.col("is_total"), F.col("row_index"))
+    r = rows.withColumn("after", F.slice(F.array_sort(F.collect_list(value).over(w)), 1, 2)).where("is_ratio and not is_growth and size(after) = 2").join(cols, "table_id")
+    return spec_rows(r, "row_ratio_by_rows", "ratio", target_row=F.col("row_index"), columns=F.col("cols"), numerator_row=F.col("after")[0], denominator_rows=F.col("after"), multiplier=100.0, tolerance=0.15)
+
+
+def named_ratio_rows(columns: DataFrame, rows: DataFrame) -> DataFrame:
+    """A ratio row from the first value row before it with the same last label, in the row before it that most looks like a base."""
+    cols = columns.where("numbers > 0").groupBy("table_id").agg(F.array_sort(F.collect_list("col_index")).alias("cols"))
+    label = X.normalize(F.col("label"))
+    base = F.when(label.contains("gdp"), 4).otherwise(0) + F.when(label.rlike("계|전체|대상|기준|인구|total|base|target|population"), 2).otherwise(0) - F.when(F.col("is_ratio") | F.col("is_growth"), 4).otherwise(0)
+    r = rows.select("table_id", "row_index", "is_ratio", "is_growth", X.normalize(F.col("leaf_label")).alias("leaf"), base.alias("score")).where("leaf <> ''")
+    t = r.where("is_ratio and not is_growth").select("table_id", "leaf", F.col("row_index").alias("target"))
+    n = t.join(r.where("not is_ratio"), ["table_id", "leaf"]).where("row_index < target").groupBy("table_id", "target").agg(F.min("row_index").alias("n"))
+    d = rows.select("table_id", "row_index", base.alias("score")).where("score >= 2")
+    d = n.join(d, "table_id").where("row_index < target and row_index <> n").groupBy("table_id", "target", "n").agg(F.max(F.struct("score", "row_index"))["row_index"].alias("d"))
+    return spec_rows(d.join(cols, "table_id"), "row_ratio_by_rows", "ratio", target_row=F.col("target"), columns=F.col("cols"), numerator_row=F.col("n"), denominator_rows=F.array("d"), multiplier=100.0, tolerance=0.15)
+
+
 def year_row_changes(columns: DataFrame, rows: DataFrame) -> DataFrame:
     """With at least three year rows: a change or rate column from the value column before it."""
     y = rows.where("year is not null").groupBy("table_id").agg(F.array_sort(F.collect_list("row_index")).alias("rows")).where("size(rows) >= 3")
@@ -153,7 +180,7 @@ def always(tables: DataFrame, columns: DataFrame) -> DataFrame:
 
 def candidates(cells: DataFrame) -> DataFrame:
     columns, rows = map(cut, structure(cells))
-    parts = [header_formulas(columns), total_columns(columns), total_rows(columns, rows), region_totals(columns, rows), same_row_ratios(columns), column_shares(columns, rows), ratio_rows(columns, rows), year_row_changes(columns, rows)]
+    parts = [header_formulas(columns), total_columns(columns), total_rows(columns, rows), region_totals(columns, rows), same_row_ratios(columns), column_shares(columns, rows), ratio_rows(columns, rows), component_ratio_rows(columns, rows), named_ratio_rows(columns, rows), year_row_changes(columns, rows)]
     return dedupe(reduce(DataFrame.unionAll, parts))
 
 
@@ -174,7 +201,7 @@ def confidence(ratio: Column) -> Column:
 
 
 def inferred(cells: DataFrame, tables: DataFrame | None = None, specs: DataFrame | None = None) -> DataFrame:
-    """The specs that the data bear out: ratio at least 0.6 with three checks or more, else 0.8; ratios always 0.8 with three.
+    """The specs that the data bear out: ratio at least 0.6 with three checks or more, else 0.8; ratios always 0.8 with three, with two if they are of rows.
 
     Of specs for the same target the best stays: by ratio, checks, difference, then id.
     """
@@ -184,7 +211,7 @@ def inferred(cells: DataFrame, tables: DataFrame | None = None, specs: DataFrame
     types = [r["type"] for r in specs.select("type").distinct().collect()]  # at most as many as there are spec types
     s = specs.join(scored(specs, cells, types), "spec_id")
     ratio = F.col("check_group") == "ratio"
-    s = s.where(F.when(ratio, (F.col("checked") >= 3) & (F.col("ratio") >= 0.8)).otherwise(F.col("ratio") >= F.when(F.col("checked") >= 3, 0.6).otherwise(0.8)))
+    s = s.where(F.when(ratio, (F.col("checked") >= F.when(F.col("type") == "row_ratio_by_rows", 2).otherwise(3)) & (F.col("ratio") >= 0.8)).otherwise(F.col("ratio") >= F.when(F.col("checked") >= 3, 0.6).otherwise(0.8)))
     w = W.partitionBy("table_id", "check_group", "target_row", "target_column", F.to_json("row_pairs"), "rate_column", "change_column").orderBy(F.desc("ratio"), F.desc("checked"), "mean_difference", "spec_id")
     best = s.withColumn("__n", F.row_number().over(w)).where("__n = 1").withColumn("confidence", F.coalesce("confidence", confidence(F.col("ratio")))).drop("__n", "checked", "mean_difference", "ratio")
     best = best.select(*edges.SPEC.names)

@@ -67,3 +67,18 @@ def test_sums_and_ratios_over_all_grids(spark, tmp_path):
     assert {(r.table_id, r.row_index): r.passed for r in sums} == {(t, i): i != 2 for t in (3, 700) for i in range(1, 6)}
     ratios = entry.queries()["chk_yearbook_ratios"](spark, str(tmp_path)).where("type = 'row_ratio' and passed").collect()
     assert {(3, 1), (700, 1)} <= {(r.table_id, r.row_index) for r in ratios}
+
+
+def test_ratios_by_components_names_and_several_denominators(spark):
+    m = [["구분", "갑 (a)", "을 (b)", "병 (c)", "율 (a/(b+c)*100)"], ["총인구", 200, 400, 500, 22.22], ["참여", 50, 80, 300, 13.16], ["기타", 7, 9, 11, 35], ["참여 비율", 25, 20, 60, 31.25],
+         ["공개율", 75, 80, 90, 44.12], ["공개", 30, 8, 9, 176.47], ["비공개", 10, 2, 1, 333.33]]
+    m[4][0] = "참여"
+    two = [[("부문", "비율")[i == 4] if i else "부문", *r] for i, r in enumerate(m)]
+    cells = grid(spark, two)
+    columns, rows = infer.structure(cells)
+    c = infer.component_ratio_rows(columns, rows).collect()
+    assert (5, 6, (6, 7)) in {(r.target_row, r.numerator_row, tuple(r.denominator_rows)) for r in c}
+    n = infer.named_ratio_rows(columns, rows).collect()
+    assert {(r.target_row, r.numerator_row, r.denominator_rows[0]) for r in n} == {(4, 2, 1)}
+    h = infer.header_formulas(columns).where("type = 'row_ratio'").collect()
+    assert [(r.target_column, r.numerator_column, r.denominator_columns) for r in h] == [(5, 2, [3, 4])]
