@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import os
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,15 +16,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else (local tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir of the session, else its SparkContext's checkpoint folder.
+
+    Where neither is set, a session in one process (local tests) gets a folder of its own; any other session is refused,
+    as what its machines wrote into folders of their own would be lost without an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    given = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if given.isDefined():
+        return given.get().rstrip("/")
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that all machines share: {master} has more than one process")
     at = "file:///tmp/gridloom-shared-" + str(os.getuid())
     os.makedirs(at[len("file://"):], exist_ok=True)
     return at
 
 
+def delete_on_exit(spark: SparkSession, at: str) -> None:
+    """The files at a path go when the session ends."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The rows of df written to the shared folder and read again: lineage ends, a lost executor loses nothing.
 
@@ -31,9 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    delete_on_exit(spark, at)
     return spark.read.schema(df.schema).parquet(at)
 
 
@@ -42,6 +58,13 @@ def parallel(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def buckets(df: DataFrame, each: int = 16 << 20) -> int:
+    """Partitions for a shuffle of what df scans, by its files' size (known to the planner, no job): `each` bytes of files in one, never fewer than the cores."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size if size < 1 << 62 else 0  # rows that come from no file have no size
+    return max(parallel(df.sparkSession), math.ceil(known / each))
+
+
 _SHIPPED: set[str] = set()
 
 
