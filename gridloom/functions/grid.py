@@ -2,36 +2,20 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.plainform import plain_form
+from gridloom.functions.plainpoints import plain_array
 
 
 def plain_texts(df: DataFrame, *columns: str) -> DataFrame:
-    """df with the named text columns in plain form; only rows whose text holds more than ASCII and composed Hangul cost more than a scan."""
+    """df with the named text columns in plain form; rows that hold nothing to do pass through."""
 
     def kernel(batches):
-        memo: dict[str, str] = {}
         for b in batches:
             for c in columns:
                 k = b.schema.get_field_index(c)
-                values = b.column(k).to_pylist()
-                if len(memo) > 200_000:
-                    memo.clear()
-                out = []
-                for v in values:
-                    if v is None or v.isascii():
-                        out.append(v if v is None or v.isprintable() or v.replace("\n", "").isprintable() else plain_form(v))
-                        continue
-                    p = memo.get(v)
-                    if p is None:
-                        p = plain_form(v)
-                        if len(v) <= 64:
-                            memo[v] = p
-                    out.append(p)
-                b = b.set_column(k, b.schema.field(k), pa.array(out, b.schema.field(k).type))
+                b = b.set_column(k, b.schema.field(k), plain_array(b.column(k)))
             yield b
 
     return df.mapInArrow(kernel, df.schema)
@@ -44,8 +28,8 @@ REMARK = r"\s*\([^()]*%\s*\)$"
 
 def number_of(text: Column) -> Column:
     """The number that a whole plain text is, as double; null if it is anything else. A bracketed percentage after it is ignored."""
-    t = F.trim(F.regexp_replace(text, REMARK, ""))
-    return F.when(t.rlike(f"^{NUMBER}$"), F.regexp_replace(t, ",", "").cast("double"))
+    t = F.trim(F.when(text.contains("%"), F.regexp_replace(text, REMARK, "")).otherwise(text))
+    return F.when(t.rlike(f"^{NUMBER}$"), F.replace(t, F.lit(","), F.lit("")).cast("double"))
 
 
 def says_nothing(text: Column) -> Column:

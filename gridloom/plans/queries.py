@@ -12,6 +12,7 @@ from gridloom.plans import checks, documents, grids, inference, registry, relati
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **registry.QUERIES,
     "p1_found": snapshots.p1_found,
+    "p1_values": snapshots.p1_values,
     "p5_found": packed.p5_found,
     "p6_found": units.p6_found,
 }

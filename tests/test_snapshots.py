@@ -5,7 +5,8 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from gridloom.operators.snapshots import _differences, snapshot_changes, yearbook_changes
+from gridloom.operators import snapshots
+from gridloom.operators.snapshots import _differences, changed_values, snapshot_changes, yearbook_changes
 
 
 def test_differences_agree_with_sets():
@@ -61,5 +62,31 @@ def test_yearbook_rules(spark):
     cells += grid(11, 2000, ["l", "y", "x"], [["two​", "b", "3"], ["ｏne", None, "1000.0"], ["new", "1", "1"]])
     cells += [(5000, 11, 2, 0, "ｏne", None, False, "x")]  # delivered twice
     df = spark.createDataFrame(cells, "id long, table_id long, row_index int, col_index int, text_value string, numeric_value double, is_header boolean, unit string")
-    got = {tuple(r) for r in yearbook_changes(spark, reports, tables, df).collect()}
+    got = {tuple(r) for r in yearbook_changes(spark, reports, tables, df).select("year", "code", "label_cell_id", "change_kind").collect()}
     assert got == {(2022, "a", 2100, "changed"), (2022, "a", 1300, "removed"), (2022, "a", 2300, "added")}
+    values = {tuple(r)[2:] for r in changed_values(yearbook_changes(spark, reports, tables, df), df).collect()}
+    assert values == {
+        (2100, "changed", True, 2101, 1, "b"), (2100, "changed", True, 2102, 2, "3"), (2100, "changed", False, 1201, 1, "2"), (2100, "changed", False, 1202, 2, "b"),
+        (1300, "removed", False, 1301, 1, "1"), (1300, "removed", False, 1302, 2, "1"), (2300, "added", True, 2301, 1, "1"), (2300, "added", True, 2302, 2, "1"),
+    }
+
+
+def test_tables_of_many_blocks(spark, monkeypatch):
+    """Blocks of two rows give what one block gives; a label that many rows share is one record; empty tables have no rows."""
+    t = dt.datetime(2024, 1, 1)
+    reports = spark.createDataFrame([(1, 2021, t, False), (2, 2022, t, False)], "id long, year int, imported_at timestamp_ntz, is_archived boolean")
+    tables = spark.createDataFrame([(10, 1, "a"), (11, 2, "a")], "id long, report_id long, code string")
+    rng = np.random.default_rng(3)
+    cells = []
+    for table_id in (10, 11):
+        cells += [(table_id * 10_000 + j, table_id, 0, j, h, True) for j, h in enumerate(("l", "x", "y"))]
+        for i in range(1, 60):
+            name = "same" if i % 3 == 0 else f"r{i + (table_id == 11 and i > 50)}"
+            row = (name, str(rng.integers(0, 2)), str(rng.integers(0, 2)))
+            cells += [(table_id * 10_000 + i * 10 + j, table_id, i, j, v, False) for j, v in enumerate(row)]
+    df = spark.createDataFrame(cells, "id long, table_id long, row_index int, col_index int, text_value string, is_header boolean")
+    keep = lambda: {tuple(r)[:4] for r in yearbook_changes(spark, reports, tables, df).select("year", "code", "label_cell_id", "change_kind").collect()}
+    whole = keep()
+    monkeypatch.setattr(snapshots, "BLOCK", 2)
+    assert keep() == whole and {k for *_, k in whole} == {"added", "removed", "changed"}
+    assert yearbook_changes(spark, reports, tables, df.limit(0)).count() == 0
