@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.letters import CHUNK, prefix_hash, span_hash
-from gridloom.llm.plain_text import code_points
-from gridloom.session import shared_dir, table
+from gridloom.functions.plainpoints import code_points
+from gridloom.session import delete_on_exit, shared_dir, table
 
 #: The most words of the lexicon, the longest of them in bytes, and the least times a word must occur to be in it.
 WORDS, LONGEST, OFTEN = 65_536, 48, 4
@@ -328,6 +328,7 @@ class _Mapped:
             os.makedirs(self.path, exist_ok=True)
             for name in Lexicon.NAMES:
                 np.save(f"{self.path}/{name}.npy", getattr(lexicon, name))
+            delete_on_exit(spark, f"file://{self.path}")
         else:
             self.sent = spark.sparkContext.broadcast({n: getattr(lexicon, n) for n in Lexicon.NAMES})
 
