@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_values": snapshots.p1_values,
     "p5_found": packed.p5_found,
     "p6_found": units.p6_found,
+    "p6_units": units.p6_units,
 }
 ORACLE: dict[str, str] = {**registry.ORACLE}
 FLAGSHIP = "chk_row_sum"

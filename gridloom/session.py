@@ -8,6 +8,7 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +66,22 @@ def buckets(df: DataFrame, each: int = 16 << 20) -> int:
     return max(parallel(df.sparkSession), math.ceil(known / each))
 
 
+#: Rows of a few numbers and short texts that may be broadcast: some 100 MB.
+FEW = 1_000_000
+
+
+def lookup(df: DataFrame, small: DataFrame, on: list[str], spread: str, few: int = FEW, salts: int = 16) -> DataFrame:
+    """df left joined to `small` (which was cut, so that counting it reads no data), whose keys may be those of a large part of df.
+
+    Up to `few` rows are broadcast. More are joined by key and salt: df's rows of one key spread by the values of the
+    column `spread`, and each row of `small` goes to every salt.
+    """
+    if small.count() <= few:
+        return df.join(F.broadcast(small), on, "left")
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return df.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).join(salted, [*on, "__salt"], "left").drop("__salt")
+
+
 _SHIPPED: set[str] = set()
 
 
