@@ -1,12 +1,13 @@
 """Problem 4: variant spellings of names, linked to the listed person they mean.
 
-Mentions and persons are compared within a block (the department). Every person is written in the forms in which people
-write names (in full, given name, parts left out, pet form, family name alone, romanised in either order, initials);
-mentions lose titles, remarks and invisible characters. MinHash over padded q-grams of each part (the letters of a
-Hangul syllable, the letters of a Latin word), in bands whose number and length come from the collision curve, gives
-candidate pairs by an equality join on (block, band, hash); Monge-Elkan similarity of the parts verifies them; star
-clustering makes every listed person the centre of a star and gives each mention to its most similar centre, to none if
-two are as similar.
+Mentions and persons are compared within a block (the department), each distinct spelling once. Every person is written
+in the forms in which people write names (in full, given name, parts left out, pet form, family name alone, romanised in
+either order, syllables together or apart, initials); mentions lose titles, remarks and invisible characters. MinHash
+over padded q-grams of each part (the letters of a Hangul syllable, the letters of a Latin word in one spelling), in
+bands whose number and length come from the collision curve, gives candidate pairs by an equality join on (block, band,
+hash); Monge-Elkan similarity of the parts verifies them. Star clustering takes the listed persons as its first centres:
+each mention goes to its most similar centre, to none if two are as similar. The mentions left are clustered into stars
+among themselves (p4_clusters): of those not yet in a star the one with most neighbours is a centre.
 
 Defined results: null, empty and title-only mentions mean nobody; a mention in a block without persons has no row; equal
 mentions of a block are compared once and each keep their row.
@@ -26,9 +27,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions.plainform import plain_form
+from gridloom.functions.plainpoints import plain_array
 from gridloom.llm.canonical import department_names, mapping, owner_texts
 from gridloom.operators.packed import packed_values
-from gridloom.session import cut, table
+from gridloom.session import cut, lookup, parallel, table
 
 # Romanisation of the Hangul letters, customary spellings of family names, titles.
 LEADS = ("g", "kk", "n", "d", "tt", "r", "m", "b", "pp", "s", "ss", "", "j", "jj", "ch", "k", "t", "p", "h")
@@ -44,8 +46,16 @@ _TITLE = re.compile(f"(?:^|(?<=[\\s가-힣]))(?:{TITLES})(?=$|\\s)|^(?:{TITLES})
 _REMARK = re.compile(r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]")
 _MARKS = re.compile(r"[\"'“”‘’「」『』*?!,;:/|()\[\]]")
 
-#: Pairs as alike as LIKE must become candidates with a chance of RECALL at least.
-LIKE, RECALL, ROWS = 0.3, 0.999, 64
+# Family names of two syllables.
+LONG_FAMILY = ("남궁", "황보", "제갈", "사공", "선우", "서문", "독고", "동방")
+# Spellings of the same sound in romanised names, in the order in which they are replaced.
+SPELLINGS = (("oo", "u"), ("ou", "u"), ("eo", "u"), ("eu", "u"), ("woo", "u"), ("ee", "i"), ("yi", "i"), ("ae", "e"), ("oe", "e"), ("ch", "j"), ("sh", "s"), ("rh", "r"), ("g", "k"), ("d", "t"), ("b", "p"), ("l", "r"))
+
+#: Pairs as alike as LIKE must become candidates with a chance of RECALL at least: one wrong letter leaves the q-grams of
+#: a name of two syllables 0.6 alike, longer names more, and all other forms are compared as they are.
+LIKE, RECALL, ROWS = 0.5, 0.999, 64
+#: Parts of a spelling as one text.
+APART = "\x1f"
 
 
 def bands(like: float = LIKE, recall: float = RECALL, most: int = ROWS) -> tuple[int, int]:
@@ -83,7 +93,7 @@ def forms(name: tuple[str, ...]) -> list[tuple[float, tuple[str, ...]]]:
     out: list[tuple[float, tuple[str, ...]]] = [(1.0, name)]
     if len(name) < 2 or not all("가" <= c <= "힣" for c in name):
         return out
-    family, given = (name[:2], name[2:]) if len(name) == 4 else (name[:1], name[1:])
+    family, given = (name[:2], name[2:]) if len(name) == 4 or len(name) == 3 and "".join(name[:2]) in LONG_FAMILY else (name[:1], name[1:])
     if not given:
         return out
     last = given[-1]
@@ -95,15 +105,24 @@ def forms(name: tuple[str, ...]) -> list[tuple[float, tuple[str, ...]]]:
     spelled = "".join(map(roman, given))
     initials = tuple(roman(g)[0] for g in given)
     for f in FAMILY.get("".join(family), ("".join(map(roman, family)),)):
-        out += [(1.0, (spelled, f)), (0.9, (initials[0], f)), (0.9, (f, *initials)), (0.9, (f, "".join(initials)))]
+        out += [(1.0, (spelled, f)), (1.0, (*map(roman, given), f)), (0.9, (initials[0], f)), (0.9, (f, *initials)), (0.9, (f, "".join(initials)))]
     return out
 
 
+@lru_cache(maxsize=50_000)
+def sound(word: str) -> str:
+    """A romanised word in one spelling of its sounds."""
+    for a, b in SPELLINGS:
+        word = word.replace(a, b)
+    return re.sub(r"(.)\1", r"\1", word)
+
+
 def _letters(part: str) -> str:
+    """A syllable's letters; a word as it sounds (initials as they are)."""
     if len(part) == 1 and "가" <= part <= "힣":
         i = ord(part) - 0xAC00
         return chr(0x1100 + i // 588) + chr(0x1161 + i % 588 // 28) + (chr(0x11A7 + i % 28))
-    return part
+    return sound(part) if len(part) > 1 else part
 
 
 @lru_cache(maxsize=200_000)
@@ -111,8 +130,8 @@ def _like(a: str, b: str) -> float:
     """Similarity of two parts: shared letters of two syllables, or 1 - edits / length of two words."""
     if a == b:
         return 1.0
-    x, y = _letters(a), _letters(b)
-    if len(a) == len(b) == 1 and len(x) == len(y) == 3:
+    x, y = (_letters(a), _letters(b)) if len(a) == len(b) == 1 else (a, b)
+    if len(x) == len(y) == 3 and len(a) == len(b) == 1:
         return sum(p == q for p, q in zip(x, y)) / 3
     if min(len(x), len(y)) < 3:
         return 0.0
@@ -134,24 +153,27 @@ def monge_elkan(a: tuple[str, ...], b: tuple[str, ...]) -> float:
 def similarity(mention: tuple[str, ...], person: tuple[str, ...]) -> float:
     """0, or how surely the mention is a form of the person's name.
 
-    One letter may be wrong in a whole name; the other forms count as they are. Parts in another order weigh a little less.
+    One letter may be wrong in a whole name, of whichever number of parts; the other forms count as they are or, if
+    romanised, as they sound. Parts in another order weigh a little less, other spellings of a sound less again.
     """
     best = 0.0
     for weight, form in forms(person):
-        if len(form) != len(mention):
-            continue
-        s = monge_elkan(mention, form)
-        if s < 1 and (weight < 1 or s < 0.88):
-            continue
+        s = monge_elkan(mention, form) if weight == 1 or mention == form or sorted(mention) == sorted(form) else 0.0
+        if s == 1 and len(mention) != len(form):
+            s = 0.93  # a part written twice or once too few
         latin = form[0].isascii()
+        if s < 1 and (weight < 1 or s < 0.88):
+            s = SOUND if latin and len(mention) == len(form) and sorted(map(_letters, mention)) == sorted(map(_letters, form)) else 0.0
         if not latin and mention != form and sorted(mention) == sorted(form):
-            if weight < 1:
-                continue
-            s = 0.93
+            s = 0.93 if weight == 1 else 0.0
         best = max(best, weight * s)
     return best
 
 
+#: Weight of a romanised name that only sounds the same.
+SOUND = 0.85
+
+
 def _grams(name: tuple[str, ...], q: int = 2) -> np.ndarray:
     out = set()
     for p in name:
@@ -160,66 +182,130 @@ def _grams(name: tuple[str, ...], q: int = 2) -> np.ndarray:
     return np.array([ord(g[0]) << 21 | ord(g[1]) for g in out], np.uint64)
 
 
-def signature(name: tuple[str, ...], b: int, r: int) -> list[int]:
-    """One hash for each band of the MinHash signature over the padded q-grams."""
+def signatures(names: list[tuple[str, ...]], b: int, r: int) -> np.ndarray:
+    """One hash for each band of the MinHash signature over the padded q-grams of each name's parts: an array of names x bands."""
     rng = np.random.default_rng(7)
     odd, add = rng.integers(1, 1 << 63, b * r, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, b * r, np.uint64)
-    with np.errstate(over="ignore"):
-        x = _grams(name)[:, None] * odd + add
-        x ^= x >> np.uint64(29)
-        x = x * np.uint64(0xBF58476D1CE4E5B9)
-        least = (x >> np.uint64(32)).min(axis=0).reshape(b, r)
-        out = np.zeros(b, np.uint64)
-        for i in range(r):
-            out = (out ^ least[:, i]) * np.uint64(0x9E3779B97F4A7C15)
-    return (out >> np.uint64(1)).astype(np.int64).tolist()
-
-
-def _banded(df: DataFrame, all_forms: bool) -> DataFrame:
-    """block, name, band, h of the distinct (block, name) of df; of every form of the name, if told so."""
-    b, r = bands()
+    out = np.zeros((len(names), b), np.uint64)
+    texts = ["".join(f"^{_letters(p)}$" for p in name) for name in names]
+    for at in range(0, len(names), max(1, 400_000 // (b * r))):
+        part = texts[at : at + max(1, 400_000 // (b * r))]
+        p = np.frombuffer("".join(part).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        gram = np.flatnonzero(p[:-1] != ord("$"))  # no gram crosses from part to part, nor from name to name
+        starts = np.searchsorted(gram, np.cumsum([0, *map(len, part[:-1])]))
+        with np.errstate(over="ignore"):
+            x = (p[gram] << np.uint64(21) | p[gram + 1])[:, None] * odd + add
+            x ^= x >> np.uint64(29)
+            x = x * np.uint64(0xBF58476D1CE4E5B9)
+            least = np.minimum.reduceat(x >> np.uint64(32), starts).reshape(len(part), b, r)
+            for i in range(r):
+                out[at : at + len(part)] = (out[at : at + len(part)] ^ least[:, :, i]) * np.uint64(0x9E3779B97F4A7C15)
+    return (out >> np.uint64(1)).astype(np.int64)
+
+
+def signature(name: tuple[str, ...], b: int, r: int) -> list[int]:
+    return signatures([name], b, r)[0].tolist()
+
+
+def spellings(df: DataFrame) -> DataFrame:
+    """block, name, spelling of the distinct (block, name) of df: the name's parts as one text; names without parts fall out."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo: dict[tuple[str, ...], list[int]] = {}
         for x in batches:
-            blocks, names, sigs = [], [], []
-            for block, name in zip(x.column(0).to_pylist(), x.column(1).to_pylist()):
-                p = parts(name)
-                for f in [f for _, f in forms(p)] if all_forms and p else [p] if p else []:
-                    if f not in memo:
-                        if len(memo) > 100_000:
-                            memo.clear()
-                        memo[f] = signature(f, b, r)
-                    blocks.append(block)
-                    names.append(name)
-                    sigs.append(memo[f])
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(names, pa.string()), pa.array(sigs, pa.list_(pa.int64()))], names=["block", "name", "sig"])
-
-    out = df.select("block", "name").distinct().mapInArrow(kernel, "block long, name string, sig array<long>")
-    return out.select("block", "name", F.posexplode("sig").alias("band", "h")).distinct()
+            got = [APART.join(parts(n)) for n in plain_array(x.column(1)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(got, pa.string())], names=["block", "name", "spelling"]).filter(pa.array([bool(g) for g in got], pa.bool_()))
 
+    distinct = df.select(F.col("block").cast("long").alias("block"), "name").distinct()
+    return distinct.repartition(parallel(df.sparkSession), "name").mapInArrow(kernel, "block long, name string, spelling string")
 
-def links(mentions: DataFrame, persons: DataFrame) -> DataFrame:
-    """block, mention, person, similarity of all verified pairs; mentions and persons: block, name."""
-    a = _banded(mentions, False).withColumnRenamed("name", "mention")
-    b = _banded(persons, True).withColumnRenamed("name", "person")
-    pairs = a.join(b, ["block", "band", "h"]).select("block", "mention", "person").distinct()
+
+def banded(df: DataFrame, all_forms: bool) -> DataFrame:
+    """block, spelling, band, h of the distinct (block, spelling) of df; of every form of the spelling, if told so."""
+    b, r = bands()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            s = [similarity(parts(m), parts(p)) for m, p in zip(x.column(1).to_pylist(), x.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(s, pa.float64())], names=["block", "mention", "person", "similarity"]).filter(pa.array([v > 0 for v in s]))
+            own = [tuple(t.split(APART)) for t in x.column(1).to_pylist()]
+            each = [[f for _, f in forms(p)] if all_forms else [p] for p in own]
+            row = np.repeat(np.arange(len(own)), [len(e) for e in each])
+            sig = signatures([f for e in each for f in e], b, r)
+            kept = x.take(pa.array(np.repeat(row, b)))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.tile(np.arange(b, dtype=np.int32), len(row))), pa.array(sig.ravel())], names=["block", "spelling", "band", "h"])
+
+    few = df.select("block", "spelling").distinct().repartition(parallel(df.sparkSession), "spelling")
+    return few.mapInArrow(kernel, "block long, spelling string, band int, h long").distinct()
+
 
+def verified(pairs: DataFrame, both_ways: bool = False) -> DataFrame:
+    """The distinct pairs (block, mention, person: spellings) that are alike, with their similarity."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[tuple[str, str], float] = {}
+        for x in batches:
+            out = []
+            for m, p in zip(x.column(1).to_pylist(), x.column(2).to_pylist()):
+                if (s := memo.get((m, p))) is None:
+                    a, b = tuple(m.split(APART)), tuple(p.split(APART))
+                    s = memo[m, p] = max(similarity(a, b), similarity(b, a) if both_ways else 0.0)
+                out.append(s)
+            yield pa.RecordBatch.from_arrays([*x.columns, pa.array(out, pa.float64())], names=["block", "mention", "person", "similarity"]).filter(pa.array([v > 0 for v in out], pa.bool_()))
+
+    # By mention, so that one shuffle serves the distinct and spreads the work whatever the size of a block.
+    pairs = pairs.select("block", "mention", "person").repartition(parallel(pairs.sparkSession), "block", "mention").distinct()
     return pairs.mapInArrow(kernel, "block long, mention string, person string, similarity double")
 
 
+def links(mentions: DataFrame, persons: DataFrame) -> DataFrame:
+    """block, mention, person, similarity of all verified pairs of names; mentions and persons: block, name."""
+    m, p = cut(spellings(mentions)), cut(spellings(persons))
+    found = linked(m, p).withColumnsRenamed({"mention": "m", "person": "p"})
+    found = found.join(m.select("block", F.col("name").alias("mention"), F.col("spelling").alias("m")), ["block", "m"])
+    return found.join(p.select("block", F.col("name").alias("person"), F.col("spelling").alias("p")), ["block", "p"]).select("block", "mention", "person", "similarity")
+
+
+def linked(mentions: DataFrame, persons: DataFrame) -> DataFrame:
+    """block, mention, person, similarity of all verified pairs of spellings; mentions and persons: block, spelling."""
+    a = banded(mentions, False).withColumnRenamed("spelling", "mention")
+    b = banded(persons, True).withColumnRenamed("spelling", "person")
+    return verified(a.join(b, ["block", "band", "h"]))
+
+
 def stars(found: DataFrame) -> DataFrame:
-    """block, mention, person, similarity: each mention with the centre it is most similar to, unless two are as similar."""
+    """block, mention, person, similarity: each mention with the given centre it is most similar to, unless two are as similar."""
     most = W.partitionBy("block", "mention")
     best = found.withColumn("most", F.max("similarity").over(most)).where("similarity = most")
     return best.withColumn("n", F.count("*").over(most)).where("n = 1").select("block", "mention", "person", "similarity")
 
 
+def star_clusters(names: DataFrame) -> DataFrame:
+    """block, spelling, centre: stars among the spellings (block, spelling) of nobody who is listed.
+
+    In each round a spelling is a centre if it has more neighbours than all of its neighbours that are in no star yet (of
+    as many, the first by text), and those neighbours join the star of their most similar centre. A spelling left alone
+    is a star of its own.
+    """
+    names = cut(names.select("block", "spelling").distinct())
+    a = banded(names, False)
+    pairs = a.withColumnRenamed("spelling", "mention").join(a.withColumnRenamed("spelling", "person"), ["block", "band", "h"]).where("mention < person")
+    one = verified(pairs, both_ways=True)
+    left = cut(one.unionByName(one.select("block", F.col("person").alias("mention"), F.col("mention").alias("person"), "similarity")))
+    done = None
+    while not left.isEmpty():
+        degree = left.groupBy("block", "mention").agg(F.count("*").alias("n"))
+        ranked = left.join(degree, ["block", "mention"]).join(degree.select("block", F.col("mention").alias("person"), F.col("n").alias("of")), ["block", "person"])
+        before = F.max(((F.col("of") > F.col("n")) | (F.col("of") == F.col("n")) & (F.col("person") < F.col("mention"))).cast("int"))
+        centres = cut(ranked.groupBy("block", "mention").agg(before.alias("b")).where("b = 0").select("block", F.col("mention").alias("centre")))
+        near = left.join(centres.withColumnRenamed("centre", "person"), ["block", "person"]).groupBy("block", "mention").agg(F.max_by("person", F.struct("similarity", "person")).alias("centre"))
+        new = cut(near.select("block", F.col("mention").alias("spelling"), "centre").unionAll(centres.select("block", F.col("centre").alias("spelling"), "centre")))
+        done = new if done is None else done.unionAll(new)
+        for end in ("mention", "person"):
+            left = left.join(new.select("block", F.col("spelling").alias(end)), ["block", end], "left_anti")
+        left = cut(left.select("block", "mention", "person", "similarity"))
+    if done is None:
+        return names.withColumn("centre", F.col("spelling"))
+    return done.unionAll(names.join(done, ["block", "spelling"], "left_anti").withColumn("centre", F.col("spelling")))
+
+
 def officer_mentions(spark: SparkSession, owners: DataFrame, logical: DataFrame) -> DataFrame:
     """mention_table, mention_id, pos, name, department: every mention of an officer with the department its row names."""
     of = owner_texts(spark, owners).withColumnRenamed("text", "department")
@@ -230,20 +316,48 @@ def officer_mentions(spark: SparkSession, owners: DataFrame, logical: DataFrame)
     return packed.unionAll(listed).where("department is not null and name is not null")
 
 
-def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """mention_table, mention_id, pos, user_row, similarity."""
+def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mentions with their block, the distinct names of each block with their spelling, listed persons as centres)."""
     owners, logical, users, glossary = (table(spark, sf_dir, n) for n in ("reference_owners", "logical_tables", "onnara_users", "official_translation_glossary"))
     mentions = officer_mentions(spark, owners, logical)
     users = users.select(F.col("row_number").cast("long").alias("user_row"), "name", F.coalesce("department", "display_department").alias("department")).where("name is not null")
     texts = mentions.select("department").unionAll(users.select("department")).where("department is not null").distinct().withColumnRenamed("department", "text")
     to = cut(mapping(spark, texts, department_names(spark, glossary)).where("entry_id > 0").select(F.col("text").alias("department"), F.col("entry_id").alias("block")))
-    mentions, users = cut(mentions.join(to, "department").drop("department")), users.join(to, "department")
+    mentions = cut(lookup(mentions, to, ["department"], "mention_id").where("block is not null").drop("department"))
+    names = cut(spellings(mentions))
     # A name listed twice in a department means no single row; it is no centre.
-    centres = cut(users.groupBy("block", "name").agg(F.min("user_row").alias("user_row"), F.count("*").alias("n")).where("n = 1"))
-    found = stars(cut(links(mentions, centres)))
-    found = found.join(centres.select("block", F.col("name").alias("person"), "user_row"), ["block", "person"])
-    return mentions.join(found.withColumnRenamed("mention", "name"), ["block", "name"]).select("mention_table", "mention_id", F.col("pos").cast("int").alias("pos"), "user_row", "similarity")
+    listed = users.join(to, "department")
+    centres = spellings(listed).join(listed, ["block", "name"]).groupBy("block", "spelling").agg(F.min("user_row").alias("user_row"), F.count("*").alias("n")).where("n = 1").drop("n")
+    return mentions, names, cut(centres)
+
+
+def _mentions_of(mentions: DataFrame, names: DataFrame, found: DataFrame, on: str) -> DataFrame:
+    """Each mention with what its spelling (column `on` of found) got."""
+    known = cut(names.join(found.withColumnRenamed(on, "spelling"), ["block", "spelling"]).drop("spelling"))
+    return lookup(mentions, known, ["block", "name"], "mention_id")
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mention_table, mention_id, pos, user_row, similarity."""
+    mentions, names, centres = _prepared(spark, sf_dir)
+    found = stars(linked(names, centres)).join(centres.withColumnRenamed("spelling", "person"), ["block", "person"]).drop("person")
+    found = _mentions_of(mentions, names, found, "mention").where("user_row is not null")
+    return found.select("mention_table", "mention_id", F.col("pos").cast("int").alias("pos"), "user_row", "similarity")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_links(spark, sf_dir).select("mention_table", "mention_id", "pos", "user_row")
+
+
+def p4_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mention_table, mention_id, pos, entry_id, centre, user_row: every mention with its star in its department; user_row only if a listed person is the centre.
+
+    Mentions as near to two listed persons, and those of nobody listed, are in stars among themselves; those without any
+    part of a name are in none.
+    """
+    mentions, names, centres = _prepared(spark, sf_dir)
+    listed = cut(stars(linked(names, centres)).join(centres.withColumnRenamed("spelling", "person"), ["block", "person"]).select("block", F.col("mention").alias("spelling"), F.col("person").alias("centre"), "user_row"))
+    rest = star_clusters(names.join(listed, ["block", "spelling"], "left_anti"))
+    every = listed.unionByName(rest.withColumn("user_row", F.lit(None).cast("long")))
+    found = _mentions_of(mentions, names, every.withColumn("centre", F.replace("centre", F.lit(APART), F.lit(" "))), "spelling")
+    return found.where("centre is not null").select("mention_table", "mention_id", F.col("pos").cast("int").alias("pos"), F.col("block").alias("entry_id"), "centre", "user_row")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm.canonical import p3_found
 from gridloom.llm.leakage import p8_found, p8_leaks
-from gridloom.llm.names import p4_found, p4_links
+from gridloom.llm.names import p4_clusters, p4_found, p4_links
 from gridloom.llm.plain_text import not_plain
 from gridloom.llm.repetition import p9_found, p9_host_lines, p9_lines, p9_share
 from gridloom.llm.tokens import p7_ids
@@ -26,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p3_found": p3_found,
     "p4_found": p4_found,
     "p4_links": p4_links,
+    "p4_clusters": p4_clusters,
     "p7_ids": p7_ids,
     "p8_found": p8_found,
     "p8_leaks": p8_leaks,

@@ -70,6 +70,39 @@ def test_names_forms_and_similarity():
     assert 1 - (1 - names.LIKE**r) ** b >= names.RECALL
 
 
+#: (mention, the person meant); each of the forms in which people write names, among them the ones hard to link.
+LABELLED = [
+    ("황용팔", "황용팔"), ("황 용팔 서기관", "황용팔"), ("Hwang Yong Pal", "황용팔"), ("yong pal hwang", "황용팔"), ("Yong-Pal Hwang", "황용팔"), ("황옹팔", "황용팔"), ("황용용팔", "황용팔"), ("황황용팔", "황용팔"),
+    ("Kim Chulsoo", "김철수"), ("Cheol-su Kim", "김철수"), ("Gim Cheolsu", "김철수"), ("Chul Soo Kim", "김철수"), ("철수 팀장", "김철수"), ("K. C. S.", None), ("C. Kim", "김철수"),
+    ("Namgung Min", "남궁민"), ("민", "남궁민"), ("남궁민 과장", "남궁민"), ("남궁 사무관", "남궁민"), ("민 주무관", "남궁민"), ("Park Youngsoo", "박영수"), ("Pak Yeongsu", "박영수"), ("박영스", "박영수"), ("수영박", "박영수"),
+    ("이순신", None), ("Lee Sunsin", None), ("공석", None), ("미정", None), ("최용팔", None), ("Hwang Minsu", None),
+]
+
+
+def test_labelled_names(spark):
+    """Recall and precision over the labelled forms, through bands, verification and stars."""
+    persons = spark.createDataFrame([(1, n) for n in ("황용팔", "김철수", "남궁민", "박영수")], "block long, name string")
+    mentions = spark.createDataFrame([(1, m) for m, _ in LABELLED], "block long, name string")
+    got = {(r.mention, r.person) for r in names.stars(names.links(mentions, persons)).collect()}
+    want = {(m, p) for m, p in LABELLED if p}
+    assert len(got & want) >= 0.9 * len(want), want - got
+    assert len(got & want) >= 0.95 * len(got), got - want
+
+
+def test_star_clusters(spark):
+    """A spelling in the middle is the centre of those around it; others keep to themselves; no names, no stars."""
+    names_ = [(1, "\x1f".join(x)) for x in ("한길동", "한긴동", "한길둥", "고나래", "한길동")] + [(2, "\x1f".join("한긴동")), (1, "나래".replace("나래", "나\x1f래"))]
+    df = spark.createDataFrame(names_, "block long, spelling string")
+    got = {(r.block, r.spelling.replace("\x1f", "")): r.centre.replace("\x1f", "") for r in names.star_clusters(df).collect()}
+    assert got == {(1, "한길동"): "한길동", (1, "한긴동"): "한길동", (1, "한길둥"): "한길동", (1, "고나래"): "고나래", (1, "나래"): "고나래", (2, "한긴동"): "한긴동"}
+    assert names.star_clusters(df.limit(0)).count() == 0
+
+
+def test_signatures_of_a_batch_are_those_of_each_name():
+    some = [("황", "용", "팔"), ("kim", "chulsoo"), ("y", "hwang"), ("팔",)] * 3
+    assert names.signatures(some, 6, 2).tolist() == [names.signature(n, 6, 2) for n in some]
+
+
 def test_minhash_follows_the_collision_curve():
     a, b = ("황", "용", "팔"), ("황", "옹", "팔")
     x, y = set(names._grams(a).tolist()), set(names._grams(b).tolist())
