@@ -156,20 +156,39 @@ def similarity(mention: tuple[str, ...], person: tuple[str, ...]) -> float:
     One letter may be wrong in a whole name, of whichever number of parts; the other forms count as they are or, if
     romanised, as they sound. Parts in another order weigh a little less, other spellings of a sound less again.
     """
-    best = 0.0
-    for weight, form in forms(person):
-        s = monge_elkan(mention, form) if weight == 1 or mention == form or sorted(mention) == sorted(form) else 0.0
-        if s == 1 and len(mention) != len(form):
-            s = 0.93  # a part written twice or once too few
-        latin = form[0].isascii()
-        if s < 1 and (weight < 1 or s < 0.88):
-            s = SOUND if latin and len(mention) == len(form) and sorted(map(_letters, mention)) == sorted(map(_letters, form)) else 0.0
-        if not latin and mention != form and sorted(mention) == sorted(form):
-            s = 0.93 if weight == 1 else 0.0
-        best = max(best, weight * s)
+    exact, turned, sounds, whole = _forms_by(person)
+    best = exact.get(mention, 0.0)
+    order = tuple(sorted(mention))
+    if order in turned:
+        best = max(best, turned[order])
+    elif order[:1] and order[0].isascii():
+        best = max(best, sounds.get(tuple(sorted(map(_letters, mention))), 0.0))
+    if best >= 0.93:
+        return best
+    for form in whole:
+        s = monge_elkan(mention, form)
+        if s >= 0.88:
+            best = max(best, s if s < 1 else 0.93)  # all parts there, one twice or once too few
     return best
 
 
+@lru_cache(maxsize=50_000)
+def _forms_by(person: tuple[str, ...]) -> tuple[dict, dict, dict, list]:
+    """Weights of a person's forms: as they are, with the parts in another order, as they sound; and the whole names."""
+    exact: dict[tuple[str, ...], float] = {}
+    turned: dict[tuple[str, ...], float] = {}
+    sounds: dict[tuple[str, ...], float] = {}
+    for weight, form in forms(person):
+        latin, order = form[0].isascii(), tuple(sorted(form))
+        exact[form] = max(weight, exact.get(form, 0.0))
+        if latin or weight == 1:
+            turned[order] = max(weight if latin else 0.93, turned.get(order, 0.0))
+        if latin:
+            heard = tuple(sorted(map(_letters, form)))
+            sounds[heard] = max(SOUND * weight, sounds.get(heard, 0.0))
+    return exact, turned, sounds, [f for w, f in forms(person) if w == 1]
+
+
 #: Weight of a romanised name that only sounds the same.
 SOUND = 0.85
 
@@ -321,7 +340,8 @@ def _prepared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     owners, logical, users, glossary = (table(spark, sf_dir, n) for n in ("reference_owners", "logical_tables", "onnara_users", "official_translation_glossary"))
     mentions = officer_mentions(spark, owners, logical)
     users = users.select(F.col("row_number").cast("long").alias("user_row"), "name", F.coalesce("department", "display_department").alias("department")).where("name is not null")
-    texts = mentions.select("department").unionAll(users.select("department")).where("department is not null").distinct().withColumnRenamed("department", "text")
+    texts = owner_texts(spark, owners).select(F.col("text").alias("department")).unionAll(logical.select("department")).unionAll(users.select("department"))
+    texts = texts.where("department is not null").distinct().withColumnRenamed("department", "text")
     to = cut(mapping(spark, texts, department_names(spark, glossary)).where("entry_id > 0").select(F.col("text").alias("department"), F.col("entry_id").alias("block")))
     mentions = cut(lookup(mentions, to, ["department"], "mention_id").where("block is not null").drop("department"))
     names = cut(spellings(mentions))
