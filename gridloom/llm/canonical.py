@@ -4,7 +4,8 @@ Distinct texts are brought to a key (invisible characters out, Hangul composed,
 Keys that equal a name of the list are settled by an equality join. The others go through a pigeonhole join: a
 reference key is cut into k + 1 segments; a text within k edits must hold one of them unchanged, at most k places
 off, so an equality join on (key length, segment number, segment) finds all pairs, and levenshtein verifies them.
-Texts without an entry are reported through an anti-join, with entry 0.
+Texts without an entry are reported through an anti-join, with entry 0. k is 2 for keys of six letters and more, 1 for
+four and five, 0 for shorter ones and codes.
 
 Defined results: null and blank texts are not mapped; a text that records moves counts as its last station; a text
 as near to two entries has none; repeated rows each get their result; of a reference name occurring under two entries
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.session import cut, table
+from gridloom.session import cut, lookup, table
 
 INVISIBLE = r"[\\u00ad\\u034f\\u061c\\u115f\\u1160\\u180b-\\u180f\\u200b-\\u200f\\u202a-\\u202e\\u2060-\\u206f\\ufe00-\\ufe0f\\ufeff]"
 MOVE = r"\\s*(?:-+>|=+>|\\u2192|\\u21d2|\\u2794|\\u27f6|\\u25b6|\\uff1e|>)\\s*"
@@ -64,18 +65,18 @@ def mapping(spark: SparkSession, typed: DataFrame, names: DataFrame) -> DataFram
         where key <> ''""",
         stations=stations,
     ))
-    refs = spark.sql(
+    refs = cut(spark.sql(
         rf"""
         select key, max(entry_id) as entry_id, {ALLOWED} as k, length(key) as n
         from (select entry_id, regexp_replace({_key(_plain("name"))}, '(담당관)실$', '$1') as key from {{names}} where name is not null)
         where key <> '' group by key having count(distinct entry_id) = 1""",
         names=names,
-    )
-    exact = spark.sql(
+    ))
+    exact = cut(spark.sql(
         "select text, min_by(entry_id, (rank, entry_id)) as entry_id from {keys} join {refs} using (key) group by text",
         keys=keys,
         refs=refs,
-    )
+    ))
     segments = spark.sql(
         """
         select key as ref, entry_id, k, n, i, substr(key, div_at + 1, div_to - div_at) as segment, div_at
@@ -104,7 +105,7 @@ def mapping(spark: SparkSession, typed: DataFrame, names: DataFrame) -> DataFram
         select text, entry_id, min(edits) as edits from (
           select distinct text, entry_id, key, ref, k, levenshtein(key, ref) as edits
           from {probes} join {segments} using (n, i, k, segment))
-        where edits <= 1 or edits <= k and length(key) = length(ref) and array_sort(split(key, '')) = array_sort(split(ref, ''))
+        where edits <= k
         group by text, entry_id""",
         probes=probes,
         segments=segments,
@@ -138,5 +139,6 @@ def owner_texts(spark: SparkSession, owners: DataFrame) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = owner_texts(spark, table(spark, sf_dir, "reference_owners"))
-    to = mapping(spark, typed, department_names(spark, table(spark, sf_dir, "official_translation_glossary")))
-    return spark.sql("select owner_id, entry_id from {typed} join {to} using (text)", typed=typed, to=to)
+    to = cut(mapping(spark, typed, department_names(spark, table(spark, sf_dir, "official_translation_glossary"))))
+    # A few texts hold most rows: the distinct ones are broadcast or, if they are many, joined by text and salt.
+    return lookup(typed.where("trim(text) <> ''"), to, ["text"], "owner_id").select("owner_id", "entry_id")
