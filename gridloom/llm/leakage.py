@@ -43,7 +43,7 @@ class Index:
     """BM25 postings: `terms` ascending; the postings of terms[i] are items[at[i]:at[i + 1]], ascending, with their weights."""
 
     ids: np.ndarray
-    texts: list[str]
+    texts: list[np.ndarray]
     answers: list[str]
     terms: np.ndarray
     at: np.ndarray
@@ -96,7 +96,7 @@ def build_index(ids: list[int], texts: list[str | None], answers: list[str | Non
     terms = h[start]
     bitmap[(terms >> np.uint64(64 - BITS)).astype(np.int64)] = True
     text = lambda p, o, i: p[o[i] : o[i + 1]].tobytes().decode("utf-32-le", "surrogatepass")
-    return Index(np.array(ids, np.int64)[use], [text(points, offs, i) for i in use], [text(ans, ans_offs, i) for i in use], terms, at, owner.astype(np.int32), weights, np.array(block_at), np.array(last), np.array(most), np.maximum.reduceat(weights, start), (RUN - TERM + 1) * least * (1 - 1e-9), bitmap)
+    return Index(np.array(ids, np.int64)[use], [points[offs[i] : offs[i + 1]] for i in use], [text(ans, ans_offs, i) for i in use], terms, at, owner.astype(np.int32), weights, np.array(block_at), np.array(last), np.array(most), np.maximum.reduceat(weights, start), (RUN - TERM + 1) * least * (1 - 1e-9), bitmap)
 
 
 def wand(index: Index, query: Counter) -> list[int]:
@@ -188,21 +188,44 @@ def search(index: Index, points: np.ndarray, offs: np.ndarray) -> list[tuple[int
         for item in wand(index, Counter(term2[a:b].tolist())):
             found[int(t2[a]), item] = None
     out = []
-    whole: dict[int, str] = {}
-    for i, item in found:
-        if i not in whole:
-            whole = {i: points[offs[i] : offs[i + 1]].tobytes().decode("utf-32-le", "surrogatepass")}
-        target, held = index.texts[item], 0
-        covered = 0
-        for j in range(len(target) - RUN + 1):
-            if target[j : j + RUN] in whole[i]:
-                held += j + RUN - max(covered, j)
-                covered = j + RUN
-        if held:
-            out.append((i, item, held / len(target)))
+    last, hashes = -1, np.zeros(0, np.uint64)
+    for i, item in sorted(found):
+        text = points[offs[i] : offs[i + 1]]
+        if i != last:
+            last, hashes = i, window_hash(text, RUN)
+            order = np.argsort(hashes, kind="stable")
+        if held := held_letters(index.texts[item], text, hashes, order):
+            out.append((i, item, held / len(index.texts[item])))
     return out
 
 
+def held_letters(target: np.ndarray, text: np.ndarray, hashes: np.ndarray, order: np.ndarray) -> int:
+    """How many letters of target lie in runs of RUN that text holds too; hashes: of text's windows, order: sorts them.
+
+    Windows meet by hash, and those that do are compared letter by letter.
+    """
+    own = window_hash(target, RUN)
+    if not len(own) or not len(hashes):
+        return 0
+    ordered = hashes[order]
+    at = np.minimum(np.searchsorted(ordered, own), len(ordered) - 1)
+    hits = np.flatnonzero(ordered[at] == own)
+    steps, same = np.arange(RUN), np.zeros(len(hits), bool)
+    for k in range(0, len(hits), 20_000):
+        part = hits[k : k + 20_000]
+        same[k : k + 20_000] = (target[part[:, None] + steps] == text[order[at[part]][:, None] + steps]).all(axis=1)
+    for k in np.flatnonzero(~same).tolist():  # two windows of one hash: another one of it may be the same
+        j = int(hits[k])
+        b = int(at[j])
+        while b < len(ordered) and ordered[b] == own[j] and not same[k]:
+            same[k] = bool((text[order[b] : order[b] + RUN] == target[j : j + RUN]).all())
+            b += 1
+    starts = hits[same]
+    if not len(starts):
+        return 0
+    return int(np.minimum(np.diff(starts), RUN).sum() + RUN)
+
+
 def leaks(spark: SparkSession, corpus: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id, held_share, answer_held: every text of `corpus` (doc_id, text) with the items (item_id, text, answer) it holds."""
     numbered = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"), F.col("answer").cast("string").alias("answer"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.letters import chunks, letters, window_hash, window_owner
-from gridloom.session import table
+from gridloom.session import cut, lookup, table
 
 RUN = 25
 
@@ -106,8 +106,9 @@ def host_lines(df: DataFrame, id_column: str, host_column: str, text_column: str
     lines = lines.groupBy("id", "host", F.xxhash64("plain").alias("h")).agg(F.count("*").alias("lines"), F.sum("size").alias("chars"))
     often = lines.groupBy("host", "h").agg(F.count("*").alias("docs")).where(F.col("docs") > most)
     hosts = docs.groupBy("host").agg(F.count("*").alias("of"))
-    gone = often.join(hosts, "host").where(F.col("docs") > most_share * F.col("of")).select("host", "h", F.lit(True).alias("gone"))
-    left = lines.join(gone, ["host", "h"], "left").groupBy("id").agg(
+    gone = cut(often.join(hosts, "host").where(F.col("docs") > most_share * F.col("of")).select("host", "h", F.lit(True).alias("gone")))
+    # A line that goes is one that a large part of a host has: no join on its hash alone.
+    left = lookup(lines, gone, ["host", "h"], "id").groupBy("id").agg(
         F.sum("lines").alias("lines"), F.sum(F.when(F.col("gone"), F.col("lines")).otherwise(0)).alias("removed"),
         F.sum("chars").alias("chars"), F.sum(F.when(F.col("gone"), 0).otherwise(F.col("chars"))).alias("chars_left"),
     )

@@ -236,6 +236,25 @@ def test_host_lines(spark):
     assert got[100].rejected and got[100].removed == 1 and not got[101].rejected and got[102].lines == 0 and len(got) == 44
 
 
+def test_held_letters_against_substrings():
+    """Letters held in common runs, against a search for every window; periodic texts of any length take no longer."""
+    rng = random.Random(4)
+    as_points = lambda t: np.array([ord(c) for c in t], np.uint32)
+    for _ in range(60):
+        item = "".join(rng.choice("abc") for _ in range(rng.randint(60, 300)))
+        text = "".join(rng.choice("abc") for _ in range(50))
+        for _ in range(rng.randint(0, 4)):
+            a = rng.randrange(len(item))
+            text += item[a : a + rng.randint(60, 150)] + rng.choice(["x", "", "abc"])
+        want = {k for j in range(len(item) - leakage.RUN + 1) if item[j : j + leakage.RUN] in text for k in range(j, j + leakage.RUN)}
+        t = as_points(text)
+        h = window_hash(t, leakage.RUN)
+        assert leakage.held_letters(as_points(item), t, h, np.argsort(h, kind="stable")) == len(want)
+    t = as_points("ab" * 200_000)
+    h = window_hash(t, leakage.RUN)
+    assert leakage.held_letters(t[:100_000], t, h, np.argsort(h, kind="stable")) == 100_000
+
+
 def test_window_hash_is_place_free():
     p, _ = letters(["abcabcabc"])
     h = window_hash(p, 3)
