@@ -125,8 +125,21 @@ def parse_xlsx(data: bytes, name: str = "") -> list[Parsed]:
     return numbered(out)
 
 
+def _cell_runs(cell: ET.Element, raised: set[str]) -> tuple[str, str]:
+    """(text, footnote markers) of a cell, its runs read once: a raised run of one or more `N)` is markers, any other is text."""
+    text, marks = [], {}
+    for run in _children(cell, "run"):
+        said = "".join(run.itertext())
+        numbers = re.findall(r"\d+\)", said) if run.get("charPrIDRef") in raised else []
+        if numbers and not re.sub(r"\d+\)|\s", "", said):
+            marks |= dict.fromkeys(numbers)
+        else:
+            text.append(said)
+    return squeeze("".join(text)), " ".join(marks)
+
+
 def _hwpx_table(table: ET.Element, raised: set[str]) -> tuple[list[list[str]], list[list[str]]]:
-    """(texts, footnote markers): a cell over rows repeats downwards, one over columns fills the first; raised `N)` runs are markers."""
+    """(texts, footnote markers): a cell over rows repeats downwards, one over columns fills the first."""
     texts: dict[tuple[int, int], str] = {}
     marks: dict[tuple[int, int], str] = {}
     n = m = 0
@@ -136,16 +149,10 @@ def _hwpx_table(table: ET.Element, raised: set[str]) -> tuple[list[list[str]], l
             span = next((x for x in tc if _local(x.tag) == "cellSpan"), None)
             i, j = int(addr.get("rowAddr") or 0), int(addr.get("colAddr") or 0)
             down, across = (int(span.get("rowSpan") or 1), int(span.get("colSpan") or 1)) if span is not None else (1, 1)
-            text, found = _text(tc), []
-            for run in _children(tc, "run"):
-                mark = _text(run).replace(" ", "")
-                if run.get("charPrIDRef") in raised and re.fullmatch(r"\d+\)", mark) and mark not in found:
-                    found.append(mark)
-            for mark in found:
-                text = re.sub(rf"\s*{re.escape(mark)}\s*$", "", text).strip()
+            text, found = _cell_runs(tc, raised)
             for a in range(down):
                 texts.setdefault((i + a, j), text)
-                marks.setdefault((i + a, j), " ".join(found))
+                marks.setdefault((i + a, j), found)
             n, m = max(n, i + down), max(m, j + across)
     full = lambda d: [[d.get((i, j), "") for j in range(m)] for i in range(n)]
     return full(texts), full(marks)
