@@ -17,8 +17,8 @@ CODE = r"^(\d+(?:-\d+){1,5})(?:\s+표\s*(\d+))?$"
 REGIONS = {
     "서울": "Seoul", "부산": "Busan", "대구": "Daegu", "인천": "Incheon", "광주": "Gwangju", "대전": "Daejeon", "울산": "Ulsan", "세종": "Sejong",
     "경기": "Gyeonggi", "강원": "Gangwon", "충북": "Chungbuk", "충남": "Chungnam", "전북": "Jeonbuk", "전남": "Jeonnam", "경북": "Gyeongbuk", "경남": "Gyeongnam", "제주": "Jeju",
-    "서울특별시": "Seoul", "부산광역시": "Busan", "대구광역시": "Daegu", "인천광역시": "Incheon", "광주광역시": "Gwangju", "대전광역시": "Daejeon", "울산광역시": "Ulsan", "세종특별자치시": "Sejong",
-    "경기도": "Gyeonggi-do", "강원특별자치도": "Gangwon State", "충청북도": "Chungcheongbuk-do", "충청남도": "Chungcheongnam-do", "전북특별자치도": "Jeonbuk State", "전라남도": "Jeollanam-do", "경상북도": "Gyeongsangbuk-do", "경상남도": "Gyeongsangnam-do", "제주특별자치도": "Jeju",
+    "서울특별시": "Seoul", "부산광역시": "Busan Metropolitan City", "대구광역시": "Daegu Metropolitan City", "인천광역시": "Incheon Metropolitan City", "광주광역시": "Gwangju Metropolitan City", "대전광역시": "Daejeon Metropolitan City", "울산광역시": "Ulsan Metropolitan City", "세종특별자치시": "Sejong Special Self-Governing City",
+    "경기도": "Gyeonggi-do", "강원특별자치도": "Gangwon State", "충청북도": "Chungcheongbuk-do", "충청남도": "Chungcheongnam-do", "전북특별자치도": "Jeonbuk State", "전라남도": "Jeollanam-do", "경상북도": "Gyeongsangbuk-do", "경상남도": "Gyeongsangnam-do", "제주특별자치도": "Jeju Special Self-Governing Province",
 }
 
 
@@ -38,8 +38,8 @@ def join_hyphenated(t: Column) -> Column:
 
 
 def review_text(t: Column) -> Column:
-    """The form texts are reviewed in: broken words joined, no-break spaces plain, white space collapsed."""
-    return display(join_hyphenated(F.translate(t, " ", " ")))
+    """The form texts are reviewed in: composed, broken words joined, no-break spaces plain, white space collapsed."""
+    return display(join_hyphenated(F.translate(nfc(t), "\u00a0", " ")))
 
 
 @F.pandas_udf(StringType())
@@ -47,11 +47,6 @@ def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
-
-
 @F.pandas_udf(DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of two texts; null is the empty text."""
@@ -70,11 +65,6 @@ def has_language(t: Column) -> Column:
     return t.rlike("[가-힣]|[A-Za-z]{2,}")
 
 
-def korean_part(t: Column) -> Column:
-    """What a bilingual text says in Korean: all up to its last Hangul character and closing marks."""
-    return F.trim(F.regexp_extract(t, r"(?s)^(.*[가-힣][^A-Za-z가-힣]*?)(?:\s*[\n ]\s*[A-Za-z(].*)?$", 1))
-
-
 def bilingual_pair(t: Column) -> Column:
     """struct(ko, en) of a text of a Korean line and an English line, or of Korean words followed by English ones; null if it isn't such a pair."""
     d = F.trim(t)
@@ -85,14 +75,6 @@ def bilingual_pair(t: Column) -> Column:
     return F.when(two, F.struct(lines[0].alias("ko"), F.try_element_at(lines, F.lit(2)).alias("en"))).when(one, F.struct(F.trim(F.regexp_extract(d, inline, 1)).alias("ko"), F.regexp_extract(d, inline, 2).alias("en")))
 
 
-def footnote_split(t: Column) -> Column:
-    """struct(text, marker): a trailing `2)` of a text that isn't a balanced bracket is a footnote marker."""
-    m = F.regexp_extract(t, r"(?s)^(.*?)((?:[0-9]{1,2}\))+)$", 2)
-    body = F.regexp_extract(t, r"(?s)^(.*?)((?:[0-9]{1,2}\))+)$", 1)
-    opened = F.length(F.regexp_replace(body, r"[^(]", "")) > F.length(F.regexp_replace(body, r"[^)]", ""))
-    return F.when((m != "") & (body != "") & ~opened, F.struct(body.alias("text"), m.alias("marker"))).otherwise(F.struct(t.alias("text"), F.lit(None).cast("string").alias("marker")))
-
-
 def is_total(t: Column) -> Column:
     n = normalize(t)
     return n.rlike("^(계|합계|총계|소계|누계|전체)(total|$)") | n.rlike("^(합계|총계|소계)") | n.rlike("^(grandtotal|total|subtotal)$")
@@ -122,11 +104,6 @@ def year_of(t: Column) -> Column:
     return F.nullif(y, F.lit("")).cast("int")
 
 
-def role(t: Column) -> Column:
-    """total, subtotal, ratio, year, or item of a label."""
-    return F.when(is_subtotal(t), "subtotal").when(is_total(t), "total").when(is_ratio(t), "ratio").when(year_of(t).isNotNull(), "year").otherwise("item")
-
-
 def translate_region(t: Column) -> Column:
     """English of a region name or of a comma-separated list of them; null if one is unknown."""
     names = F.create_map(*[x for k, v in REGIONS.items() for x in (F.lit(k), F.lit(v))])
@@ -134,13 +111,6 @@ def translate_region(t: Column) -> Column:
     return F.when(~F.exists(parts, lambda x: x.isNull()), F.array_join(parts, ", "))
 
 
-def contact(t: Column) -> Column:
-    """struct(department, position, officer, extension) of `department position name (phone)`; null if it isn't a contact."""
-    p = r"^\s*\*?\s*(\S*(?:과|팀|센터|담당관|실|국|계))\s+(?:(\S*(?:관|장|사|보))\s+)?([가-힣]{2,4})\s*\((\d[\d-]+)\)"
-    g = lambda k: F.nullif(F.regexp_extract(t, p, k), F.lit(""))
-    return F.when(t.rlike(p), F.struct(g(1).alias("department"), g(2).alias("position"), g(3).alias("officer"), g(4).alias("extension")))
-
-
 def phone_digits(t: Column) -> Column:
     return F.regexp_replace(t, r"[^0-9]", "")
 
@@ -161,12 +131,6 @@ def same_department(a: Column, b: Column) -> Column:
     return (x == y) | (x.endswith(y) & (F.length(y) >= 3)) | (y.endswith(x) & (F.length(x) >= 3))
 
 
-def suspicious_punctuation(t: Column) -> Column:
-    """Why a text's punctuation looks wrong, or null."""
-    opened, closed = F.length(F.regexp_replace(t, r"[^(]", "")), F.length(F.regexp_replace(t, r"[^)]", ""))
-    return F.when(t.rlike(r"[,.;]{2,}") & ~t.contains("..."), "repeated mark").when(t.rlike(r"\s[,;]"), "blank before mark").when(opened != closed, "unbalanced bracket").when(t.rlike(r"^[,;.]"), "mark at the start")
-
-
 def masked(t: Column) -> Column:
     """Numbers replaced by a placeholder."""
     return F.regexp_replace(t, r"[0-9][0-9,.]*", "<NUM>")
@@ -191,4 +155,4 @@ def token_overlap(a: Column, b: Column) -> Column:
 def chunks(t: Column, size: int = 1400) -> Column:
     """A text as array of pieces of at most `size` characters, parted at line breaks or sentence ends where there are any; nothing is lost but blanks at the cuts."""
     piece = rf"(?s)\S(?:.{{0,{size - 2}}}(?:(?<=[.!?。])(?=\s)|(?=\n)|(?=\s*$))|.{{0,{size - 1}}})"
-    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(piece), F.lit(0)), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.regexp_extract_all(t, F.lit(piece), F.lit(0)), lambda x: F.trim(x)), lambda x: x != "")

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions import labels as L
 from gridloom.functions import numeric as N
 from gridloom.functions import text as X
 from gridloom.operators.relational import contains_terms, first_n, insert_ignore
@@ -66,7 +67,7 @@ def format_candidates(cells: DataFrame) -> DataFrame:
     """table_id, row_index, col_index, reason: malformed numbers, judged by their column's other numbers, and wrong punctuation."""
     grouped = cells.where("not is_header").groupBy("table_id", "col_index").agg(F.coalesce(F.max(F.col("text_value").rlike(r"^[0-9]{1,3}(,[0-9]{3})+$")), F.lit(False)).alias("grouped"))
     c = cells.where("not is_header").join(grouped, ["table_id", "col_index"])
-    reason = F.coalesce(N.anomaly(F.col("text_value"), F.lit("명"), F.col("grouped")), F.when(X.has_language(F.col("text_value")), X.suspicious_punctuation(F.col("text_value"))))
+    reason = F.coalesce(N.anomaly(F.col("text_value"), F.lit("명"), F.col("grouped")), F.when(X.has_language(F.col("text_value")), L.punctuation(F.col("text_value"))))
     return c.select("table_id", "row_index", "col_index", reason.alias("reason")).where("reason is not null")
 
 

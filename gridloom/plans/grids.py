@@ -79,22 +79,12 @@ def str_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", X.fingerprint(X.masked(F.col("text"))).alias("h"))
 
 
-@query("str_contact")
-def str_contact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "stat_tables").select("id", X.contact(F.col("source")).alias("c")).where("c is not null").select("id", "c.*")
-
-
 @query("str_bilingual", r"SELECT id, split_part(trim(text_value), chr(10), 1) AS ko, split_part(trim(text_value), chr(10), 2) AS en FROM stat_table_cells WHERE is_header AND regexp_full_match(trim(text_value), '[가-힣]+\n[A-Z][A-Za-z]+')")
 def str_bilingual(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "stat_table_cells").where(F.col("is_header") & F.trim("text_value").rlike(r"^[가-힣]+\n[A-Z][A-Za-z]+$"))
     return c.select("id", X.bilingual_pair(F.col("text_value")).alias("p")).select("id", "p.*")
 
 
-@query("str_footnotes")
-def str_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "stat_table_cells").select("id", X.footnote_split(F.col("text_value")).alias("f")).where("f.marker is not null").select("id", "f.*")
-
-
 @query("str_chunks")
 def str_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.chunks(F.col("text"))).alias("pos", "chunk"))
