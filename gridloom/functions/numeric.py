@@ -68,28 +68,34 @@ def format_number(x: Column) -> Column:
     return F.when(x == F.floor(x), F.format_number(x, 0)).otherwise(F.format_number(x, 1))
 
 
-def loose_number(text: Column) -> Column:
-    """The display parser: every comma and % is dropped."""
-    return F.regexp_replace(F.trim(text), "[,%]", "").try_cast("double")
+#: What a cell that should be a number consists of.
+SHAPE = "^[-+()0-9 ,.%'’`´ㅡㆍ·]+$"
+COUNTED = "명|개|건|회|원|가구|세대|대|곳|krw"
 
 
-def shown_whole(text: Column) -> Column:
-    """Whether a cell shows a whole number."""
-    return F.regexp_replace(display(text), "[,%]", "").rlike(r"^[-+]?[0-9]+$")
+def anomaly(text: Column, unit: Column, numbers: Column, grouped: Column, whole: Column) -> Column:
+    """Kind of a malformed number text, or null.
 
-
-def anomaly(text: Column, unit: Column, peers_grouped: Column) -> Column:
-    """Kind of a malformed number text, or null: unclosed bracket, wrong grouping, a dash within, a point for a comma.
-
-    `peers_grouped` tells whether the other numbers of the column have thousands commas.
+    `numbers`, `grouped` and `whole` tell how many of the column's texts are numbers, have thousands commas, and are
+    whole numbers. Dates, years like ’24 and numbers with a bracketed number after them are no anomaly.
     """
     t = compact(text)
+    fine = t.isin(*PLACEHOLDERS) | t.rlike(r"^['’]?[0-9]{1,4}[./~-][0-9]{1,2}([./~-][0-9]{1,2})?[.]?$") | t.rlike("^['’][0-9]{2}$") | t.rlike(rf"^{_N}\({_N}%?\)%?$") | ~t.rlike(SHAPE) | ~t.rlike("[0-9]")
+    points = t.rlike(r"^[+-]?[0-9]{1,3}([.][0-9]{3})+$") & ~F.coalesce(unit, F.lit("")).contains("%")
+    counted = F.lower(F.regexp_replace(F.coalesce(unit, F.lit("")), "[ (),]", "")).rlike(COUNTED)
     return (
-        F.when(t.rlike(r"^[0-9][0-9,.]*\)$"), F.lit("unmatched bracket"))
-        .when(t.rlike(r"^\([0-9][0-9,.]*$"), F.lit("unmatched bracket"))
-        .when(t.rlike(r"^[0-9,]+,[0-9,]*$") & ~t.rlike(rf"^{_N}$"), F.lit("wrong grouping"))
-        .when(t.rlike(r"^[0-9]+[ㅡ―–—][0-9]+$"), F.lit("dash within"))
-        .when(t.rlike(r"^[0-9]+\.\.+[0-9]+$"), F.lit("doubled point"))
-        .when(t.rlike(r"^[0-9]{1,3}\.[0-9]{3}$") & F.coalesce(unit, F.lit("")).isin("명", "건", "개소", "원") & peers_grouped, F.lit("point for comma"))
-        .when(t.rlike(r"^[0-9][0-9,.]*[Oo][0-9,.]*$"), F.lit("letter within"))
+        F.when(fine, F.lit(None).cast("string"))
+        .when(t.rlike("[0-9][ㅡㆍ'’`´·][0-9]"), "wrong separator")
+        .when(t.rlike("[0-9][,.]{2,}[0-9]"), "doubled separator")
+        .when(t.rlike(rf"^{_N}%?\)$"), F.when(numbers >= 2, "unmatched bracket"))
+        .when(t.contains(",") & ~t.rlike(rf"^\(?{_N}%?\)?$"), "wrong grouping")
+        .when(points & (counted | (grouped >= 1) | (whole >= 3)), "point for comma")
+        .when(parse_number(text).isNull(), "not a number")
     )
+
+
+def peers(text: Column) -> list[Column]:
+    """The aggregates that anomaly() wants of a column's texts: numbers, grouped, whole."""
+    t = F.regexp_replace(compact(text), "%$", "")
+    comma = t.rlike(r"^[+-]?[0-9]{1,3}(,[0-9]{3})+$")
+    return [F.count(parse_number(text)).alias("numbers"), F.count_if(comma).alias("grouped"), F.count_if(comma | t.rlike("^[+-]?[0-9]+$")).alias("whole")]

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridloom.functions import numeric as N
+from gridloom.functions import text as X
 from gridloom.operators.edges import row_labels
 
 
@@ -39,7 +40,36 @@ def adjacent_similarity(cells: DataFrame, tables: DataFrame, least: float = 0.0)
     return both.groupBy("table_id", "previous_id").agg(F.avg(F.when(F.col("x") == F.col("y"), 1.0).otherwise(0.0)).alias("similarity")).where(F.col("similarity") >= least)
 
 
-def split_part_totals(cells: DataFrame, parts: DataFrame, least_checks: int = 5, least_passed: float = 0.0) -> DataFrame:
+#: Share of equal cells from which neighbours are near-duplicates.
+ALIKE = 0.92
+
+
+def adjacent_duplicates(cells: DataFrame, tables: DataFrame, least: float = ALIKE) -> DataFrame:
+    """table_id, previous_id, similarity of near-duplicate neighbours with different titles and base codes (tables: table_id, parent, table_order, title, code)."""
+    t = tables.select("table_id", X.normalize(F.col("title")).alias("title"), base_code(F.col("code")).alias("base"))
+    near = adjacent_similarity(cells, tables.select("table_id", "parent", "table_order"), least)
+    near = near.join(t, "table_id").join(t.withColumnsRenamed({"table_id": "previous_id", "title": "title2", "base": "base2"}), "previous_id")
+    return near.where("title <> title2 and base <> base2").select("table_id", "previous_id", "similarity")
+
+
+def with_anomaly_notes(tables: DataFrame, duplicates: DataFrame, code: str = "code") -> DataFrame:
+    """tables (id, note, ..) whose near-duplicates have the previous table's code added to their note; a note that names it already stays."""
+    d = duplicates.join(tables.select(F.col("id").alias("previous_id"), F.col(code).alias("__code")), "previous_id").select(F.col("table_id").alias("id"), "__code")
+    line = F.concat(F.lit("[확인 필요] "), "__code", F.lit(" 표와 같은 값"))
+    note = F.coalesce("note", F.lit(""))
+    new = F.when(F.col("__code").isNull() | note.contains(line), F.col("note")).when(note == "", line).otherwise(F.concat(note, F.lit("\n"), line))
+    return tables.join(d, "id", "left").withColumn("note", new).drop("__code")
+
+
+def rebuilt_spec(rule_id: Column) -> Column:
+    """What a rule id like `cross.split_part_row_total:role=target:target=5:rows=2,3` says, as map of its parts with `type`; null if it is none."""
+    known = r"^cross\.[a-z_]+(:[a-z_]+=[^:=]*)*$"
+    rest = F.regexp_replace(rule_id, "^[^:]*:?", "")
+    parts = F.when(rest == "", F.create_map().cast("map<string,string>")).otherwise(F.str_to_map(rest, F.lit(":"), F.lit("=")))
+    return F.when(rule_id.rlike(known), F.map_concat(F.create_map(F.lit("type"), F.regexp_extract(rule_id, r"^cross\.([a-z_]+)", 1)), parts))
+
+
+def split_part_totals(cells: DataFrame, parts: DataFrame, least_checks: int = 5, least_passed: float = 0.6) -> DataFrame:
     """Totals in part 1 against the details of all parts (parts: table_id, base_code, part), rows joined by label.
 
     A total column's first header text is 계, 합계.., total..; details are the other columns. Rows that a part lacks are

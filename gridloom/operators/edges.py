@@ -16,11 +16,14 @@ from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.functions import labels as L
 from gridloom.functions import numeric as N
 
+
 def _struct(**kinds: str) -> T.StructType:
     of = {"int": T.IntegerType(), "string": T.StringType(), "double": T.DoubleType(), "long": T.LongType(), "boolean": T.BooleanType(), "ints": T.ArrayType(T.IntegerType())}
     return T.StructType([T.StructField(k, of[v] if isinstance(v, str) else v) for k, v in kinds.items()])
@@ -33,6 +36,7 @@ SPEC = _struct(
     terms=T.ArrayType(_struct(op="string", column="int")), numerator_column="int", numerator_row="int", denominator_row="int", denominator_columns="ints", denominator_rows="ints",
     current_column="int", previous_column="int", row_pairs=T.ArrayType(_struct(target_row="int", source_row="int", value_row="int", weight_row="int")),
     value_column="int", change_column="int", rate_column="int", weight_column="int", source_table_id="long", source_column="int", source_row="int", source_weight_column="int",
+    source_columns="ints",
 )
 NORMAL, SUSPECT, REVIEW = "정상", "오류 의심", "확인 필요"
 # Spec types whose tolerance is at least 1, and the default tolerances.
@@ -175,11 +179,11 @@ def _cross_match(s: DataFrame) -> DataFrame:
 
 
 def _cross_row_sum(s: DataFrame, labels: DataFrame) -> DataFrame:
-    """Own operand columns plus the source table's column in the row of the same label (the last such row)."""
+    """Own operand columns plus the source table's column or columns in the row of the same label (the last such row)."""
     own = labels.withColumnsRenamed({"label": "row_label", "row_index": "row"})
     src = labels.groupBy("table_id", "label").agg(F.max("row_index").alias("src_row")).withColumnsRenamed({"table_id": "source_table_id", "label": "row_label"})
     s = _rows(s).join(own, ["table_id", "row"]).join(src, ["source_table_id", "row_label"])
-    refs = F.concat(F.transform(F.coalesce("operand_columns", F.array().cast("array<int>")), lambda c: _ref(F.col("row"), c, "term")), F.array(_ref(F.col("src_row"), F.col("source_column"), "term", t=F.col("source_table_id"))))
+    refs = F.concat(F.transform(F.coalesce("operand_columns", F.array().cast("array<int>")), lambda c: _ref(F.col("row"), c, "term")), F.transform(F.coalesce("source_columns", F.array("source_column")), lambda c: _ref(F.col("src_row"), c, "term", t=F.col("source_table_id"))))
     return _edges(s, F.col("target_column"), refs)
 
 
@@ -263,6 +267,78 @@ def evaluate(specs: DataFrame, cells: DataFrame, types: list[str] | None = None)
     )
 
 
+def source_checks(checks: DataFrame, specs: DataFrame, cells: DataFrame) -> DataFrame:
+    """The outcome of each cross_table_row_sum check once more, at every source cell that went into it: spec_id, table_id (the source's), row_index, col_index, passed."""
+    e = compile_specs(specs.where("type = 'cross_table_row_sum'"), cells, ["cross_table_row_sum"]).where("op_table <> table_id")
+    at = e.select("spec_id", F.col("row").alias("row_index"), F.col("col").alias("target"), "op_table", "op_row", "op_col")
+    c = checks.select("spec_id", "row_index", F.col("col_index").alias("target"), "passed")
+    return at.join(c, ["spec_id", "row_index", "target"]).select("spec_id", F.col("op_table").alias("table_id"), F.col("op_row").alias("row_index"), F.col("op_col").alias("col_index"), "passed")
+
+
+def skipped(specs: DataFrame, cells: DataFrame, checks: DataFrame) -> DataFrame:
+    """Passed checks for what a spec leaves out: the display-only rows of row_arithmetic, and averages with too few operands (spec_id, table_id, type, row_index, col_index, current_value)."""
+    v = cell_values(cells).select("table_id", F.col("row").alias("row_index"), F.col("col").alias("col_index"), F.col("target").alias("current_value"))
+    shown = specs.where("type = 'row_arithmetic'").select("spec_id", "table_id", "type", F.explode("display_only_row_indices").alias("row_index"), F.col("target_column").alias("col_index"))
+    few = specs.where("type in ('weighted_average', 'cross_table_weighted_average')").select("spec_id", "table_id", "type", F.col("target_row").alias("row_index"), F.explode(F.coalesce("columns", F.array("target_column"))).alias("col_index"))
+    few = few.join(checks.select("spec_id", "row_index", "col_index"), ["spec_id", "row_index", "col_index"], "left_anti")
+    return shown.unionByName(few).join(v, ["table_id", "row_index", "col_index"]).select("spec_id", "table_id", "type", "row_index", "col_index", "current_value")
+
+
+def selected_rows(cells: DataFrame) -> DataFrame:
+    """table_id, latest_year, cumulative_total, latest_data_row: rows of each grid that a spec may name instead of a number.
+
+    The row of the greatest year among the labels (the last of equal ones), the first row of a cumulative total, and the
+    last row with a number; null where there is none.
+    """
+    label = F.when(F.col("col_index") == 0, F.col("text_value"))
+    key = F.regexp_replace(F.coalesce(label, F.lit("")), r"(?U)\s+", "")
+    year = F.nullif(F.regexp_extract(key, r"^[’']?((?:19|20)\d{2})년?$", 1), F.lit("")).cast("int")
+    number = (F.col("col_index") > 0) & N.raw_value(F.col("numeric_value"), F.col("text_value")).isNotNull()
+    return cells.where("not is_header").groupBy("table_id").agg(
+        F.max(F.struct(year.alias("y"), "row_index")).alias("at"), F.min(F.when(key.rlike("^(누적|누계)(총|합)?계?$"), F.col("row_index"))).alias("cumulative_total"), F.max(F.when(number, F.col("row_index"))).alias("latest_data_row")
+    ).select("table_id", F.when(F.col("at.y").isNotNull(), F.col("at.row_index")).alias("latest_year"), "cumulative_total", "latest_data_row")
+
+
+def resolved(specs: DataFrame, cells: DataFrame, selectors: DataFrame) -> DataFrame:
+    """specs with their target_row, source_row and operand rows taken from selectors.
+
+    selectors: spec_id, slot (target_row, source_row or operand), selector (a column of selected_rows), column, op. A
+    spec with a selector that names no row is left out.
+    """
+    rows = selected_rows(cells)
+    names = [c for c in rows.columns if c != "table_id"]
+    stacked = rows.select("table_id", F.explode(F.array(*[F.struct(F.lit(c).alias("selector"), F.col(c).alias("row")) for c in names])).alias("s")).select("table_id", "s.*")
+    where = specs.select("spec_id", "table_id", "source_table_id")
+    s = selectors.join(where, "spec_id").withColumn("table_id", F.when(F.col("slot") == "source_row", F.col("source_table_id")).otherwise(F.col("table_id")))
+    s = s.join(stacked, ["table_id", "selector"], "left")
+    found = s.groupBy("spec_id").agg(
+        F.count_if(F.col("row").isNull()).alias("open"), F.max(F.when(F.col("slot") == "target_row", F.col("row"))).alias("__t"), F.max(F.when(F.col("slot") == "source_row", F.col("row"))).alias("__s"),
+        F.collect_list(F.when(F.col("slot") == "operand", F.struct("row", "column", "op"))).alias("__o"))
+    out = specs.join(found, "spec_id", "left").where("coalesce(open, 0) = 0")
+    cells_of = F.when(F.size("__o") > 0, F.concat(F.coalesce("operand_cells", F.array().cast(SPEC["operand_cells"].dataType)), "__o")).otherwise(F.col("operand_cells"))
+    return out.withColumns({"target_row": F.coalesce("__t", "target_row"), "source_row": F.coalesce("__s", "source_row"), "operand_cells": cells_of}).select(*SPEC.names)
+
+
+#: Least confidence of specs that are run: sums of groups, and all else that a template gave.
+GROUP_SUM, TEMPLATE = 0.6, 0.9
+
+
+def executable(specs: DataFrame, known: tuple[str, ...] = (*PLAN, "metadata_required", "outlier_columns", "growth_rate_scan")) -> DataFrame:
+    """The specs to run: of known types, not switched off, sure enough (see GROUP_SUM and TEMPLATE); unit_required counts as metadata_required, once a table."""
+    s = specs.withColumn("type", F.when(F.col("type") == "unit_required", "metadata_required").otherwise(F.col("type"))).where(F.col("type").isin(*known) & F.coalesce("execute", F.lit(True)))
+    sure = F.coalesce("confidence", F.lit(1.0))
+    s = s.where(F.when(F.col("check_group") == "template", sure >= TEMPLATE).when(F.col("check_group") == "sum", sure >= GROUP_SUM).otherwise(True))
+    w = W.partitionBy("table_id", F.when(F.col("type") == "metadata_required", F.lit("m")).otherwise(F.col("spec_id"))).orderBy("spec_id")
+    return s.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def growth_scan(cells: DataFrame, specs: DataFrame) -> DataFrame:
+    """table_id, labels, passed: every grid with growth labels, and whether it has a spec that checks growth rates."""
+    labels = cells.where(L.is_growth(F.col("text_value")) & (F.col("is_header") | (F.col("col_index") == 0))).groupBy("table_id").agg(F.count("*").alias("labels"))
+    has = specs.where(F.col("type").isin("row_growth_rate", "row_year_over_year_rate", "year_rows_change_rate")).select("table_id").distinct().withColumn("has", F.lit(True))
+    return labels.join(has, "table_id", "left").select("table_id", "labels", F.coalesce("has", F.lit(False)).alias("passed"))
+
+
 def highlights(specs: DataFrame, cells: DataFrame, types: list[str] | None = None) -> DataFrame:
     """spec_id, table_id, target_row, target_col, cells: the target and its operands in the same table, as array of (row, col, role)."""
     e = compile_specs(specs, cells, types)

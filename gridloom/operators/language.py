@@ -63,11 +63,11 @@ def candidates(cells: DataFrame) -> DataFrame:
     return c.select("table_id", "row_index", "col_index", F.explode(kinds).alias("kind"), "value").distinct()
 
 
-def format_candidates(cells: DataFrame) -> DataFrame:
-    """table_id, row_index, col_index, reason: malformed numbers, judged by their column's other numbers, and wrong punctuation."""
-    grouped = cells.where("not is_header").groupBy("table_id", "col_index").agg(F.coalesce(F.max(F.col("text_value").rlike(r"^[0-9]{1,3}(,[0-9]{3})+$")), F.lit(False)).alias("grouped"))
-    c = cells.where("not is_header").join(grouped, ["table_id", "col_index"])
-    reason = F.coalesce(N.anomaly(F.col("text_value"), F.lit("명"), F.col("grouped")), F.when(X.has_language(F.col("text_value")), L.punctuation(F.col("text_value"))))
+def format_candidates(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """table_id, row_index, col_index, reason: malformed numbers, judged by their column's other texts and the table's unit, and suspicious punctuation."""
+    data = cells.where("not is_header and text_value is not null")
+    c = data.join(data.groupBy("table_id", "col_index").agg(*N.peers(F.col("text_value"))), ["table_id", "col_index"]).join(tables.select(F.col("id").alias("table_id"), "unit"), "table_id", "left")
+    reason = F.coalesce(N.anomaly(F.col("text_value"), F.col("unit"), F.col("numbers"), F.col("grouped"), F.col("whole")), F.when(X.has_language(F.col("text_value")), L.punctuation(F.col("text_value"))))
     return c.select("table_id", "row_index", "col_index", reason.alias("reason")).where("reason is not null")
 
 

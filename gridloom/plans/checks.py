@@ -198,4 +198,4 @@ def xtb_split_part_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = order_grid(spark, sf_dir).where("table_id in (1, 2)")
     cells = cells.withColumn("text_value", F.when((F.col("col_index") == 0) & ~F.col("is_header"), F.concat(F.lit("행"), F.col("row_index").cast("string"))).otherwise(F.col("text_value")))
     parts = cells.select("table_id").distinct().select("table_id", F.lit("p").alias("base_code"), F.col("table_id").cast("int").alias("part"))
-    return crosstable.split_part_totals(cells, parts).select("row_index", "col_index", "current_value", "expected_value", "passed")
+    return crosstable.split_part_totals(cells, parts, least_passed=0.0).select("row_index", "col_index", "current_value", "expected_value", "passed")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions import numeric as N
 from gridloom.functions import text as X
 from gridloom.operators import language, reconcile, rules
-from gridloom.plans.grids import NORMAL, cells_of
+from gridloom.plans.grids import CELLS, COMPACT, NORMAL, NUM, cells_of, parse_sql
 from gridloom.plans.registry import query
 from gridloom.session import cut, table
 
@@ -43,9 +44,29 @@ def language_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.candidates(cells_of(spark, sf_dir)).groupBy("table_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query("language_format")
+def _anomaly_sql(n: str = NUM) -> str:
+    t = COMPACT.replace("{c}", "text_value")
+    u = "lower(regexp_replace(coalesce(unit, ''), '[ (),]', '', 'g'))"
+    return rf"""CASE WHEN {t} IN ('', '-', '－', '―', '–', '—', '_', '＿') OR regexp_full_match({t}, '[''’]?[0-9]{{1,4}}[./~-][0-9]{{1,2}}([./~-][0-9]{{1,2}})?[.]?') OR regexp_full_match({t}, '[''’][0-9]{{2}}') OR regexp_full_match({t}, '{n}\({n}%?\)%?') OR NOT regexp_matches({t}, '^[-+()0-9 ,.%''’`´ㅡㆍ·]+$') OR NOT regexp_matches({t}, '[0-9]') THEN NULL
+    WHEN regexp_matches({t}, '[0-9][ㅡㆍ''’`´·][0-9]') THEN 'wrong separator' WHEN regexp_matches({t}, '[0-9][,.]{{2,}}[0-9]') THEN 'doubled separator' WHEN regexp_full_match({t}, '{n}%?\)') THEN CASE WHEN numbers >= 2 THEN 'unmatched bracket' END
+    WHEN contains({t}, ',') AND NOT regexp_full_match({t}, '\(?{n}%?\)?') THEN 'wrong grouping' WHEN regexp_full_match({t}, '[+-]?[0-9]{{1,3}}([.][0-9]{{3}})+') AND NOT contains(coalesce(unit, ''), '%') AND (regexp_matches({u}, '{N.COUNTED}') OR grouped >= 1 OR whole >= 3) THEN 'point for comma'
+    WHEN {parse_sql('text_value')} IS NULL THEN 'not a number' END"""
+
+
+_PCT = "regexp_replace(" + COMPACT.replace("{c}", "text_value") + ", '%$', '')"
+SPOILT = "CASE id % 5 WHEN 0 THEN replace(text_value, ',', '.') WHEN 1 THEN text_value || ')' WHEN 2 THEN replace(text_value, ',', 'ㅡ') WHEN 3 THEN replace(text_value, ',', ',,') ELSE text_value END"
+
+
+@query("language_format", rf"""WITH {CELLS}, s AS (SELECT table_id, row_index, col_index, CASE WHEN row_index % 7 = 0 THEN {SPOILT} ELSE text_value END AS text_value FROM cells WHERE NOT is_header AND text_value IS NOT NULL),
+    p AS (SELECT *, count({parse_sql('text_value')}) OVER w AS numbers, count(*) FILTER (WHERE regexp_full_match({_PCT}, '[+-]?[0-9]{{1,3}}(,[0-9]{{3}})+')) OVER w AS grouped, count(*) FILTER (WHERE regexp_full_match({_PCT}, '[+-]?[0-9]{{1,3}}(,[0-9]{{3}})+') OR regexp_full_match({_PCT}, '[+-]?[0-9]+')) OVER w AS whole FROM s WINDOW w AS (PARTITION BY table_id, col_index)),
+    r AS (SELECT p.table_id, row_index, col_index, coalesce({_anomaly_sql()}, CASE WHEN regexp_matches(text_value, '[가-힣]|[A-Za-z]{{2,}}') THEN CASE WHEN regexp_matches(text_value, '[\x{{fffd}}\x{{00}}-\x{{08}}\x{{0b}}\x{{0c}}\x{{0e}}-\x{{1f}}]') THEN 'broken character' WHEN regexp_matches(text_value, '[0-9][ㅡㆍ''’`´][0-9]') THEN 'wrong mark between digits' WHEN regexp_matches(text_value, '[가-힣A-Za-z0-9][,.;:]{{2,}}[가-힣A-Za-z0-9]') THEN 'doubled mark' END END) AS reason FROM p LEFT JOIN stat_tables t ON t.id = p.table_id)
+    SELECT * FROM r WHERE reason IS NOT NULL""")
 def language_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language.format_candidates(cells_of(spark, sf_dir))
+    """The yearbook's cells, a part of every seventh row spoilt in one of four ways."""
+    k, t = F.col("id") % 5, F.col("text_value")
+    bad = F.when(k == 0, F.replace(t, F.lit(","), F.lit("."))).when(k == 1, F.concat(t, F.lit(")"))).when(k == 2, F.replace(t, F.lit(","), F.lit("ㅡ"))).when(k == 3, F.replace(t, F.lit(","), F.lit(",,"))).otherwise(t)
+    c = cells_of(spark, sf_dir).withColumn("text_value", F.when(F.col("row_index") % 7 == 0, bad).otherwise(t))
+    return language.format_candidates(c, table(spark, sf_dir, "stat_tables"))
 
 
 SPELL = "|".join(language.SPELLING)
