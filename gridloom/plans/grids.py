@@ -152,9 +152,54 @@ def prj_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.structure_signatures(cells_of(spark, sf_dir))
 
 
-@query("prj_templates")
+@query("prj_templates", f"""WITH {CELLS}, l AS (SELECT table_id, {DISPLAY.replace("{c}", "text_value")} AS t, {NORMAL.replace("{c}", "text_value")} AS k FROM cells WHERE NOT is_header AND col_index = 0),
+r AS (SELECT table_id, count(DISTINCT CASE WHEN substr(t, 1, 2) IN ({", ".join(f"'{k}'" for k in X.REGIONS if len(k) == 2)}) THEN substr(t, 1, 2) END) AS regions, count(*) FILTER (WHERE regexp_full_match(k, '[0-9]{{4}}')) AS years FROM l GROUP BY 1),
+h AS (SELECT table_id, string_agg({NORMAL.replace("{c}", "text_value")}, '|') AS h FROM cells WHERE is_header GROUP BY 1), x AS (SELECT r.*, coalesce(h, '') AS h, {NORMAL.replace("{c}", "concat_ws(' ', title, code)")} AS t FROM r LEFT JOIN h USING (table_id) LEFT JOIN stat_tables s ON s.id = r.table_id)
+SELECT table_id, contains(h, '지역') OR regions >= 8 AS regional, regexp_matches(h, '연도|year') OR years >= 4 AS yearly, regexp_matches(h, '남성|여성|male|female') AND regexp_matches(h || t, '직급|계급|grade') AS sex_grade, regexp_matches(h, '연말잔액|수입액|지출액|잔액율|잔액률|balance|income|expenditure') AS balance FROM x""")
 def prj_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grids.templates(cells_of(spark, sf_dir))
+    return grids.templates(cells_of(spark, sf_dir), table(spark, sf_dir, "stat_tables"))
+
+
+FILLED = f"""f AS (SELECT table_id, row_index, col_index, last_value(nullif({DISPLAY.replace("{c}", "text_value")}, '') IGNORE NULLS) OVER (PARTITION BY table_id, row_index ORDER BY col_index) AS t FROM cells WHERE is_header),
+g AS (SELECT *, {NORMAL.replace("{c}", "t")} AS k, lag({NORMAL.replace("{c}", "t")}) OVER (PARTITION BY table_id, col_index ORDER BY row_index) AS before FROM f WHERE t IS NOT NULL)"""
+
+
+@query("prj_header_paths", f"WITH {CELLS}, {FILLED} SELECT table_id, col_index, string_agg(t, ' > ' ORDER BY row_index) AS path, count(*) AS depth FROM g WHERE before IS NULL OR before <> k GROUP BY ALL")
+def prj_header_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = grids.header_paths(cells_of(spark, sf_dir))
+    return p.select("table_id", "col_index", F.array_join("path", " > ").alias("path"), F.size("path").cast("long").alias("depth"))
+
+
+@query("prj_group_prefixes", f"WITH {CELLS}, {FILLED}, p AS (SELECT table_id, col_index, list(k ORDER BY row_index) AS p FROM g WHERE before IS NULL OR before <> k GROUP BY ALL) SELECT a.table_id, a.col_index, b.col_index AS other FROM p a JOIN p b ON a.table_id = b.table_id AND a.col_index <> b.col_index AND len(a.p) > 1 AND len(b.p) >= len(a.p) - 1 AND b.p[1:len(a.p) - 1] = a.p[1:len(a.p) - 1] WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.table_id = a.table_id AND g.col_index = a.col_index AND regexp_matches(g.k, '^(계|합계|총계|소계)|total'))")
+def prj_group_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of a grid that begin with the group of another one (which names no total)."""
+    p = grids.header_paths(cells_of(spark, sf_dir))
+    total = F.exists("path", lambda x: X.normalize(x).rlike("^(계|합계|총계|소계)|total"))
+    a = p.where(~total).select("table_id", "col_index", grids.group_prefix(F.col("path"), F.col("total_at")).alias("prefix"))
+    j = a.join(p.select("table_id", F.col("col_index").alias("other"), "path"), "table_id").where("col_index <> other")
+    return j.where(grids.starts_with(F.col("path"), F.col("prefix"))).select("table_id", "col_index", "other")
+
+
+@query("prj_row_parts")
+def prj_row_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.row_parts(cells_of(spark, sf_dir))
+
+
+@query("prj_header_extension", f"""WITH {CELLS}, n AS (SELECT table_id, coalesce(max(CASE WHEN is_header THEN row_index END) + 1, 1) AS h, max(row_index) + 1 AS n FROM cells GROUP BY 1),
+r AS (SELECT c.table_id, c.row_index, count(coalesce(numeric_value, {parse_sql("text_value")})) = 0 AND coalesce(bool_or(regexp_matches({NORMAL.replace("{c}", "text_value")}, '구분|합계|소계|연도|단위|classification|total|year|unit')), FALSE) AS more FROM cells c JOIN n USING (table_id) WHERE c.row_index >= n.h GROUP BY ALL)
+SELECT n.table_id, least(coalesce(min(CASE WHEN NOT more THEN row_index END), n.n), n.h + 5) AS header_rows FROM n LEFT JOIN r USING (table_id) GROUP BY n.table_id, n.n, n.h""")
+def prj_header_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.header_extension(cells_of(spark, sf_dir))
+
+
+@query("prj_display_columns")
+def prj_display_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.display_columns(cells_of(spark, sf_dir))
+
+
+@query("prj_analysis", f"WITH {CELLS} SELECT table_id, coalesce(max(CASE WHEN is_header THEN row_index END) + 1, 1) AS header_count, max(col_index) + 1 AS column_count, count(DISTINCT CASE WHEN NOT is_header THEN row_index END) AS row_count, count(DISTINCT CASE WHEN is_header THEN col_index END) AS heads FROM cells GROUP BY 1")
+def prj_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.analysis(cells_of(spark, sf_dir)).select("table_id", "header_count", "column_count", "row_count", F.size("columns").cast("long").alias("heads"))
 
 
 @query("prj_inherited_units", r"""WITH p AS (SELECT id, unit, base_date, coalesce(nullif(trim(unit), ''), CASE WHEN len(list_distinct(list(nullif(trim(unit), '')) OVER w)) = 1 THEN list_distinct(list(nullif(trim(unit), '')) OVER w)[1] END, '') AS u,

@@ -230,7 +230,7 @@ d AS (SELECT id + 1000000 AS table_id, id AS previous_id, code, note FROM t WHER
 
 def _with_copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(cells, tables): every tenth table once more right behind itself, under another title and code."""
-    t = table(spark, sf_dir, "stat_tables").select(F.col("id").alias("table_id"), "report_id", "code", "title", "note", (F.col("table_order") * 10**9 + F.col("id") * 2).alias("table_order"))
+    t = table(spark, sf_dir, "stat_tables").select(F.col("id").alias("table_id"), "report_id", "code", "title", "note", (F.col("table_order").cast("long") * 10**9 + F.col("id") * 2).alias("table_order"))
     t = t.withColumn("parent", F.concat_ws("|", "report_id", crosstable.parent_code(F.col("code"))))
     copy = t.where("table_id % 10 = 0").withColumns({"table_id": F.col("table_id") + 1_000_000, "title": F.concat("title", F.lit(" 사본")), "code": F.concat(F.lit("99-"), crosstable.base_code(F.col("code"))), "table_order": F.col("table_order") + 1})
     c = cells_of(spark, sf_dir).select("table_id", "row_index", "col_index", "text_value")
