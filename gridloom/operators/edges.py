@@ -36,7 +36,7 @@ SPEC = _struct(
     terms=T.ArrayType(_struct(op="string", column="int")), numerator_column="int", numerator_row="int", denominator_row="int", denominator_columns="ints", denominator_rows="ints",
     current_column="int", previous_column="int", row_pairs=T.ArrayType(_struct(target_row="int", source_row="int", value_row="int", weight_row="int")),
     value_column="int", change_column="int", rate_column="int", weight_column="int", source_table_id="long", source_column="int", source_row="int", source_weight_column="int",
-    source_columns="ints",
+    source_columns="ints", score="int",
 )
 NORMAL, SUSPECT, REVIEW = "정상", "오류 의심", "확인 필요"
 # Spec types whose tolerance is at least 1, and the default tolerances.

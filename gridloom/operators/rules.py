@@ -12,23 +12,24 @@ from gridloom.operators import edges, infer
 from gridloom.operators.relational import first_n
 from gridloom.session import cut
 
-#: Findings of one rule that a table reports at most.
+#: Findings of one rule that a table reports at most; with cap=None a rule reports all.
 CAP = 30
 
 
-def from_structure(cells: DataFrame) -> DataFrame:
-    """Findings of the formula, total, region and ratio-row rules: type, table_id, row_index, col_index, current_value, expected_value."""
+def from_structure(cells: DataFrame, cap: int | None = CAP) -> DataFrame:
+    """Findings of the formula, total (over the columns of one parent), region and ratio-row rules: type, table_id, row_index, col_index, current_value, expected_value."""
     columns, rows = map(cut, infer.structure(cells))
-    specs = infer.header_formulas(columns).unionAll(infer.total_columns(columns)).unionAll(infer.region_totals(columns, rows)).unionAll(infer.ratio_rows(columns, rows))
+    specs = infer.header_formulas(columns).unionAll(infer.peer_totals(columns)).unionAll(infer.region_totals(columns, rows)).unionAll(infer.ratio_rows(columns, rows))
     specs = cut(specs)
     types = [r["type"] for r in specs.select("type").distinct().collect()]  # a handful
     if not types:
         return cells.limit(0).select(F.lit("").alias("type"), "table_id", "row_index", "col_index", F.lit(0.0).alias("current_value"), F.lit(0.0).alias("expected_value"))
     bad = edges.evaluate(specs, cells, types).where(~F.col("passed"))
-    return first_n(bad.select("type", "table_id", "row_index", "col_index", "current_value", "expected_value"), ["type", "table_id"], [F.col("col_index"), F.col("row_index")], CAP)
+    bad = bad.select("type", "table_id", "row_index", "col_index", "current_value", "expected_value")
+    return bad if cap is None else first_n(bad, ["type", "table_id"], [F.col("col_index"), F.col("row_index")], cap)
 
 
-def subtotals(cells: DataFrame) -> DataFrame:
+def subtotals(cells: DataFrame, cap: int | None = CAP) -> DataFrame:
     """Subtotal rows against the rows after them in the same group (column 0 carries the group, column 1 the subtotal label).
 
     Groups are runs of rows with the same group label; a subtotal reaches to the next total of its run.
@@ -41,7 +42,8 @@ def subtotals(cells: DataFrame) -> DataFrame:
     ops = j.where(~X.is_total(F.col("l"))).groupBy("table_id", "run", "col_index").agg(F.sum("v").alias("expected_value"), F.count("*").alias("n_ops")).where("n_ops >= 2")
     t = j.where(X.is_subtotal(F.col("l"))).select("table_id", "run", "row_index", "col_index", F.col("v").alias("current_value"))
     out = t.join(ops, ["table_id", "run", "col_index"]).where(F.abs(F.col("current_value") - F.col("expected_value")) > 1.0)
-    return first_n(out.select("table_id", "row_index", "col_index", "current_value", "expected_value"), ["table_id"], [F.col("row_index"), F.col("col_index")], CAP)
+    out = out.select("table_id", "row_index", "col_index", "current_value", "expected_value")
+    return out if cap is None else first_n(out, ["table_id"], [F.col("row_index"), F.col("col_index")], cap)
 
 
 def change_columns(cells: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.operators import crosstable, edges, grids, infer
 from gridloom.plans.checks import GRID, N, order_grid
 from gridloom.plans.grids import cells_of
+from gridloom.plans.planted import GRIDS, planted
 from gridloom.plans.registry import query
 from gridloom.session import cut, table
 
@@ -20,15 +21,16 @@ CLEAN = GRID.replace("THEN 2 ELSE", "THEN 0 ELSE")
 @query("infer_total_columns", CLEAN + f"SELECT t AS table_id, {N + 1} AS target_column, {N} AS operands FROM (SELECT a.t, a.r, abs(a.v - sum(o.v)) <= 1 AS ok FROM g a JOIN g o ON a.t = o.t AND a.r = o.r AND o.c BETWEEN 1 AND {N} WHERE a.c = {N + 1} GROUP BY a.t, a.r, a.v) GROUP BY t HAVING avg(CASE WHEN ok THEN 1.0 ELSE 0 END) >= 0.6")
 def infer_total_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = order_grid(spark, sf_dir, off=0)
-    columns, _ = infer.structure(cells)
-    found = infer.inferred(cells, specs=infer.total_columns(columns))
+    cells = cut(cells)
+    found = infer.inferred(cells, specs=infer.total_columns(cut(infer.structure(cells)[0])))
     return found.select("table_id", "target_column", F.size("operand_columns").alias("operands"))
 
 
 @query("infer_total_rows", CLEAN + f"SELECT t AS table_id, 6 AS target_row, 5 AS operands FROM (SELECT a.t, a.c, abs(a.v - sum(o.v)) <= 1 AS ok FROM g a JOIN g o ON a.t = o.t AND a.c = o.c AND o.r < 6 WHERE a.r = 6 GROUP BY a.t, a.c, a.v) GROUP BY t HAVING avg(CASE WHEN ok THEN 1.0 ELSE 0 END) >= 0.6")
 def infer_total_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = order_grid(spark, sf_dir, off=0)
-    found = infer.inferred(cells, specs=infer.total_rows(*infer.structure(cells)))
+    cells = cut(cells)
+    found = infer.inferred(cells, specs=infer.total_rows(*map(cut, infer.structure(cells))))
     return found.select("table_id", "target_row", F.size("operand_rows").alias("operands"))
 
 
@@ -39,6 +41,22 @@ def infer_yearbook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infer.inferred(cells, table(spark, sf_dir, "stat_tables")).groupBy("type").agg(F.count("*").alias("specs"), F.count_distinct("table_id").alias("tables"))
 
 
+#: Headers that say themselves that a column isn't to be summed up.
+UNSUMMED = "%|퍼센트|비율|구성비|Detail|Ｄｅｔ"
+
+
+@query("infer_planted", GRIDS + f""", u AS (SELECT DISTINCT table_id FROM cells WHERE is_header AND regexp_matches(text_value, '{UNSUMMED}')), x AS (SELECT table_id, count(DISTINCT c) AS cols, count(DISTINCT r) AS rows FROM v GROUP BY 1)
+SELECT t.type, x.table_id FROM x, (VALUES ('row_sum'), ('column_sum')) t(type) WHERE rows >= 3 AND cols >= 3 AND x.table_id NOT IN (SELECT table_id FROM u)""")
+def infer_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The yearbook's grids whose planted total column and planted total row got a spec (of grids with numbers in three rows and columns, no header of which forbids sums)."""
+    cells, shape = planted(spark, sf_dir, off=0)
+    cells = cut(cells)
+    found = infer.inferred(cells).join(shape, "table_id")
+    size = cells.where("not is_header and col_index > 0 and numeric_value is not null").join(shape, "table_id").where("col_index < width and row_index < last").groupBy("table_id").agg(F.count_distinct("col_index").alias("cols"), F.count_distinct("row_index").alias("rows")).where("cols >= 3 and rows >= 3")
+    found = found.where("type = 'row_sum' and target_column = width or type = 'column_sum' and target_row = last").join(size, "table_id")
+    return found.join(cells.where(F.col("is_header") & F.col("text_value").rlike(UNSUMMED)).select("table_id"), "table_id", "left_anti").select("type", "table_id").distinct()
+
+
 @query("infer_profile_origin")
 def infer_profile_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Profiles of the tables of each delivery from those imported before it, by structure signature."""

@@ -15,6 +15,47 @@ def grid(spark, matrix, header_rows=1):
     return spark.createDataFrame([(1, i, j, str(v), None, i < header_rows) for i, r in enumerate(matrix) for j, v in enumerate(r) if v is not None], CELL)
 
 
+GRIDS = {
+    1: [["구분", "2025"], ["총계", 30], ["소계 A", 10], ["A-1", 4], ["A-2", 6], ["소계 B", 20], ["B-1", 8], ["B-2", 12]],
+    2: [["구분", "2024", "2025"], ["계 Total", 60, 80], ["지방세 세목별 per Item", 10, 20], ["주민등록", 20, 25], ["소득", 30, 35]],
+    3: [["순위", "2024", "2025"], ["1", 0.8, 0.9], ["2", 0.3, 0.4], ["3", 0.5, 0.5]],
+    4: [["구분", "2024", "2025"], ["일반직", 30, 40], ["직급 A", 10, 15], ["직급 B", 20, 25], ["특정직", 5, 6]],
+    5: [["구분", "2023", "2024", "2025"], ["자산", 210, 223.2, 231.7], ["부채", 54.4, 56.3, 61.3], ["자본", 155.6, 166.9, 170.3]],
+    6: [["기관", "건수", "기관", "수량"], ["계", 10, None, None], ["가", 1, "나", 2], ["다", 3, "라", 4]],
+    7: [["구분", "계", "갑", "을", "병"], ["가", 12, 5, 7, 100], ["나", 10, 1, 9, 300], ["다", 30, 20, 10, 50]],
+    8: [["구분", "처리", "비용", "값"], ["건수", 10, 20, 30], ["비용", 100, 400, 900], ["1건당 비용", 10, 20, 30]],
+    9: [["구분", "2024", "2025"], ["가", 1, 2], ["나", 3, 4], ["다", 5, 6], ["합계", 9, 12]],
+}
+
+
+def test_what_literal_grids_are_made_of(spark):
+    """Subtotals before leaves, unlabelled sums, ranks that are none, one total over blocks side by side, sets of columns, quotients."""
+    rows = [(t, i, j, str(v), None, i == 0) for t, m in GRIDS.items() for i, r in enumerate(m) for j, v in enumerate(r) if v is not None]
+    found = infer.inferred(spark.createDataFrame(rows, CELL)).collect()
+    sums = {(r.table_id, r.target_row): r.operand_rows for r in found if r.type == "column_sum"}
+    assert sums[1, 1] == [2, 5] and sums[1, 2] == [3, 4] and sums[1, 5] == [6, 7]
+    assert sums[2, 1] == [2, 3, 4]
+    assert not any(t == 3 for t, _ in sums)
+    assert sums[4, 1] == [2, 3] and sums[5, 1] == [2, 3]
+    assert sums[9, 4] == [1, 2, 3]
+    cells = {r.table_id: sorted((c.row, c.column) for c in r.operand_cells) for r in found if r.type == "cell_sum"}
+    assert cells[6] == [(2, 1), (2, 3), (3, 1), (3, 3)]
+    columns = {(r.table_id, r.target_column): r.operand_columns for r in found if r.type == "row_sum"}
+    assert columns[7, 1] == [2, 3]
+    quotient = [(r.target_row, r.numerator_row, r.denominator_rows) for r in found if r.type == "row_ratio_by_rows" and r.table_id == 8]
+    assert (3, 2, [1]) in quotient
+
+
+def test_header_paths_of_totals(spark):
+    """Nested, replaced and sibling totals of three header rows."""
+    m = [["구분", "총계", "총계", "일반직", "일반직", "일반직", "특정직", "특정직"], ["구분", "계", "정원", "계", "임기제", "고위", "계", "경찰"], ["가", 30, 9, 10, 4, 6, 20, 20], ["나", 33, 9, 11, 5, 6, 22, 22], ["다", 36, 8, 12, 5, 7, 24, 24]]
+    columns, _ = infer.structure(grid(spark, m, 2))
+    got = {(r.col_index, tuple(r.operands)) for r in infer.operand_columns(columns, runs=False).collect()}
+    assert {(3, (4, 5)), (1, (3, 6))} <= got
+    found = {r.target_column: r.operand_columns for r in infer.inferred(grid(spark, m, 2), specs=infer.total_columns(columns)).collect()}
+    assert found[3] == [4, 5] and found[1] == [3, 6]
+
+
 def test_profiles_come_from_earlier_deliveries(spark):
     rows = [(90, "1", "a", "s", 1), (20, "1", "a", "s", 2), (30, "1", "b", "s", 3), (40, "2", "b", "s", 4), (50, "3", "c", "s", 4), (60, "1", "a", "x", 4), (70, "1", "a", "s", 2), (80, "4", None, "s", 4), (81, "1", "a", "s", None)]
     tables = spark.createDataFrame(rows, "table_id long, table_code string, title string, signature string, turn int")
