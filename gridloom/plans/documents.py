@@ -37,11 +37,14 @@ def _pipe(rows: list[list[str]], code: str) -> bytes:
 
 
 def xlsx(rows: list[list[str]], code: str) -> bytes:
-    """A minimal workbook with inline texts, a percentage and a merged range."""
-    head = [["표번호", code], ["통계명", "주문 현황"], ["단위", "건"], ["기준일", "2025. 12. 31."], ["출처", "통계과"], []]
+    """A minimal workbook with inline texts: metadata rows, then a grid."""
+    return sheet([["표번호", code], ["통계명", "주문 현황"], ["단위", "건"], ["기준일", "2025. 12. 31."], ["출처", "통계과"], [], *rows])
+
+
+def sheet(rows: list[list[str]]) -> bytes:
     esc = lambda v: v.replace("&", "&amp;").replace("<", "&lt;")
     name = lambda j: (chr(64 + j // 26) if j >= 26 else "") + chr(65 + j % 26)
-    body = "".join(f'<row r="{i + 1}">' + "".join(f'<c r="{name(j)}{i + 1}" t="inlineStr"><is><t>{esc(v)}</t></is></c>' for j, v in enumerate(r)) + "</row>" for i, r in enumerate(head + rows))
+    body = "".join(f'<row r="{i + 1}">' + "".join(f'<c r="{name(j)}{i + 1}" t="inlineStr"><is><t>{esc(v)}</t></is></c>' for j, v in enumerate(r)) + "</row>" for i, r in enumerate(rows))
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -78,6 +81,78 @@ for _suffix, _writer in (("html", _html), ("md", _pipe), ("xlsx", xlsx), ("hwpx"
     query(f"src_{_suffix}", READ)(lambda spark, sf_dir, s=_suffix, w=_writer: _written(spark, sf_dir, s, w))
 
 
+def _untidy(rows: list[list[str]], code: str) -> bytes:
+    """A document whose table has a caption, notes, an empty column, headers printed again, a row given twice, and English labels in a column of their own."""
+    wide = [[r[0] if i == 0 else f"국가{i}", "" if i == 0 else (r[0] if r[0].isascii() else "Total"), "", *r[1:]] for i, r in enumerate(rows)]
+    width = len(wide[0])
+    bare = lambda t: [t] + [""] * (width - 1)
+    table_ = [bare("▫ 주문 Orders (단위 : 건)"), wide[0], wide[1], wide[2], bare("* 주 1) 잠정"), wide[0], wide[2], *wide[3:], bare("출처: 통계과")]
+    body = "".join("<tr>" + "".join(f"<td>{v}</td>" for v in r) + "</tr>" for r in table_)
+    return f"# {code} 현황 Status\n<table>{body}</table>\n".encode()
+
+
+def _in_two(rows: list[list[str]], code: str) -> bytes:
+    """A table that goes on in a second one under the same header, and in a third one without a header."""
+    html = lambda m: "<table>" + "".join("<tr>" + "".join(f"<td>{v}</td>" for v in r) + "</tr>" for r in m) + "</table>\n"
+    return (f"# {code} 현황 Status\n" + html(rows[:3]) + html([rows[0], *rows[3:5]]) + html(rows[5:])).encode()
+
+
+for _name, _writer in (("untidy", _untidy), ("joined", _in_two)):
+    query(f"src_{_name}", READ)(lambda spark, sf_dir, w=_writer: _written(spark, sf_dir, "html", w))
+
+
+@query("src_sections", "SELECT '1-1-' || (n_regionkey + 1) AS code, '주문' AS section_title, 'Orders' AS section_title_en FROM nation GROUP BY n_regionkey")
+def src_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The section that a document's outline puts each table under."""
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            content = ["# 주문 Orders\n\n#".encode() + _html(r, f"1-1-{i}") for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([f"/mem/{k}.md" for k in range(len(content))]), pa.array(["x"] * len(content)), pa.array(content, pa.binary())], names=["path", "file_hash", "content"])
+
+    return ingest.parsed(_rows(spark, sf_dir).mapInArrow(kernel, "path string, file_hash string, content binary")).select("code", "section_title", "section_title_en")
+
+
+@query("src_owners", "SELECT year, row_number, title, department, department_raw FROM (SELECT year, CAST(row_number() OVER (PARTITION BY year ORDER BY owner_id) + 2 AS INT) AS row_number, title, coalesce(department, '') AS department, regexp_replace(trim(regexp_replace(coalesce(officer_raw, ''), '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')), '^ | $', '', 'g') AS department_raw FROM reference_owners) WHERE title <> '' AND (department <> '' OR department_raw <> '')".replace("\\\\", "\\"))
+def src_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lists of owners, a workbook a year, written and read again."""
+    o = table(spark, sf_dir, "reference_owners").select("year", "owner_id", F.array(F.lit("1"), *[F.coalesce(c, F.lit("")) for c in ("title", "department", "officer_raw")], F.lit("")).alias("r"))
+    o = o.groupBy("year").agg(F.transform(F.array_sort(F.collect_list(F.struct("owner_id", "r"))), lambda x: x["r"]).alias("rows"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            content = [sheet([["담당"], ["연번", "통계명", "부서", "담당자", "비고"], *rows]) for rows in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([str(y) for y in b.column(0).to_pylist()]), pa.array(content, pa.binary())], names=["path", "content"])
+
+    got = ingest.owners(o.mapInArrow(kernel, "path string, content binary"), start=2)
+    return got.select(F.col("path").cast("int").alias("year"), "row_number", "title", "department", F.col("officer").alias("department_raw"))
+
+
+@query("src_siblings", "SELECT id, regexp_replace(source_file_path, '[.]hwpx$', '.md') AS path, CASE WHEN id % 2 = 0 THEN source_file_path END AS source FROM annual_reports")
+def src_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The originals of Markdown files, of which every second one is there."""
+    r = table(spark, sf_dir, "annual_reports")
+    paths = r.select("id", F.regexp_replace("source_file_path", r"[.]hwpx$", ".md").alias("path"))
+    return ingest.siblings(paths, r.where("id % 2 = 0").select(F.col("source_file_path").alias("path")))
+
+
+@query("src_years", "SELECT id, CAST(regexp_extract(source_file_name, '(20[0-9]{2})', 1) AS INT) AS year FROM annual_reports")
+def src_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "annual_reports").select("id", ingest.year_of_name(F.col("source_file_path")).alias("year"))
+
+
+@query("src_metadata", "SELECT DISTINCT '1-1-' || (n_regionkey + 1) AS code, '주문 현황' AS title, '건' AS unit, '2025. 12. 31.' AS base_date, '통계과' AS source FROM nation")
+def src_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields that a workbook's first rows give."""
+    rows = _rows(spark, sf_dir).select(F.col("table_id"), "rows")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            content = [xlsx(r, f"1-1-{i}") for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([f"/mem/{k}.xlsx" for k in range(len(content))]), pa.array(["x"] * len(content)), pa.array(content, pa.binary())], names=["path", "file_hash", "content"])
+
+    return ingest.parsed(rows.mapInArrow(kernel, "path string, file_hash string, content binary")).select("code", "title", "unit", "base_date", "source")
+
+
 @query("snk_copy_report", "SELECT (SELECT count(*) FROM annual_reports WHERE id = 8) AS reports, (SELECT count(*) FROM stat_tables WHERE report_id = 8) AS tables, (SELECT count(*) FROM stat_table_cells WHERE table_id IN (SELECT id FROM stat_tables WHERE report_id = 8)) AS cells")
 def snk_copy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = ingest.copy_report({n: table(spark, sf_dir, n) for n in ("annual_reports", "stat_tables", "stat_table_cells")}, 8)

@@ -54,7 +54,7 @@ def _cell_at(ref: str) -> tuple[int, int]:
     return int(m[2]) - 1, col - 1
 
 
-def _sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
+def sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
     """(name, matrix) of all sheets; a merged range shows its first cell everywhere."""
     z = zipfile.ZipFile(io.BytesIO(data))
     names = set(z.namelist())
@@ -101,7 +101,7 @@ def _text_of_string(e: ET.Element) -> str:
 def parse_xlsx(data: bytes, name: str = "") -> list[Parsed]:
     """All tables of a workbook: a row whose first four cells hold a table code starts one."""
     out: list[Parsed] = []
-    for sheet, matrix in _sheets(data):
+    for sheet, matrix in sheets(data):
         starts = [i for i, r in enumerate(matrix) if CODE.search(" ".join(r[:4]))] or [0]
         starts[0] = 0 if len(starts) == 1 else starts[0]
         for start, end in zip(starts, [*starts[1:], len(matrix)]):
@@ -164,7 +164,7 @@ def _char_ids(z: zipfile.ZipFile, test) -> set[str]:
     return {x.get("id") for x in _children(ET.fromstring(z.read("Contents/header.xml")), "charPr") if x.get("id") and test(x)}
 
 
-def parse_hwpx(data: bytes, name: str = "") -> list[Parsed]:
+def parse_hwpx(data: bytes, name: str = "", number: bool = True) -> list[Parsed]:
     """All tables of a document: a small table with a code is a title, the data tables after it are its parts, paragraphs give sources and notes."""
     z = zipfile.ZipFile(io.BytesIO(data))
     raised = _char_ids(z, lambda x: any(_local(c.tag) == "supscript" for c in x))
@@ -200,7 +200,7 @@ def parse_hwpx(data: bytes, name: str = "") -> list[Parsed]:
                         out[-1].note = "\n".join(x for x in (out[-1].note, text) if x)
                 else:
                     context += "\n" + text
-    return numbered(out)
+    return numbered(out) if number else out
 
 
 def blue_texts(data: bytes) -> list[tuple[str, str]]:

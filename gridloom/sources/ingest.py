@@ -5,23 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import numeric as N
-from gridloom.operators.relational import insert_ignore
-from gridloom.sources.archive import blue_texts, parse_hwpx, parse_xlsx
-from gridloom.sources.markup import parse_markup
+from gridloom.operators.relational import insert_ignore, latest
+from gridloom.sources.archive import blue_texts, parse_hwpx, parse_xlsx, sheets
+from gridloom.sources.markup import numbered, parse_markup
+from gridloom.sources.shape import owner_rows, tidied
+
+
+def _text(data: bytes, name: str) -> list:
+    return numbered(tidied(parse_markup(data.decode("utf-8", "replace"), name, number=False)))
+
 
 #: Suffix -> parser of (content, name).
-PARSERS = {
-    "xlsx": parse_xlsx,
-    "hwpx": parse_hwpx,
-    "md": lambda data, name: parse_markup(data.decode("utf-8", "replace"), name),
-    "html": lambda data, name: parse_markup(data.decode("utf-8", "replace"), name),
-}
+PARSERS = {"xlsx": parse_xlsx, "hwpx": lambda data, name: numbered(tidied(parse_hwpx(data, name, number=False))), "md": _text, "html": _text}
 MOST_BYTES = 104_857_600
-FIELDS = ("code", "title", "title_en", "unit", "base_date", "source", "note", "domain", "section_file")
+FIELDS = ("code", "title", "title_en", "unit", "base_date", "source", "note", "domain", "section_title", "section_title_en", "section_file")
 PARSED = "path string, file_hash string, error string, " + ", ".join(f"{f} string" for f in FIELDS) + ", table_order int, header_rows int, matrix array<array<string>>, footnotes array<array<string>>"
 
 
@@ -65,6 +66,53 @@ def cells_of(tables: DataFrame) -> DataFrame:
     return c.select("file_hash", "code", "row_index", "col_index", "text_value", F.when(~header, N.parse_number(F.col("text_value"))).alias("numeric_value"), header.alias("is_header"), mark.alias("footnote_marker"))
 
 
+def owners(files: DataFrame, start: int = 3) -> DataFrame:
+    """path, sheet, row_number, number, title, department, officer, note of the lists of owners in workbooks."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("path", pa.string()), ("sheet", pa.string()), ("row_number", pa.int32()), *((k, pa.string()) for k in ("number", "title", "department", "officer", "note"))])
+        for b in batches:
+            rows = [{"path": p, "sheet": sheet, **r} for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for sheet, m in sheets(d) for r in owner_rows(m, start)]
+            yield pa.RecordBatch.from_pylist(rows, kinds)
+
+    return files.select("path", "content").mapInArrow(kernel, "path string, sheet string, row_number int, number string, title string, department string, officer string, note string")
+
+
+def siblings(paths: DataFrame, files: DataFrame, suffix: str = "hwpx") -> DataFrame:
+    """paths (path) with `source`: the file of the same folder and stem with the suffix, null if there is none."""
+    stem = F.regexp_replace("path", r"\.[A-Za-z0-9]+$", "")
+    f = files.where(F.lower("path").endswith(f".{suffix}")).select(stem.alias("__stem"), F.col("path").alias("source")).groupBy("__stem").agg(F.min("source").alias("source"))
+    return paths.withColumn("__stem", stem).join(f, "__stem", "left").drop("__stem")
+
+
+def jdbc_options(url: str, source: str, key: str | None = None, low: int = 0, high: int = 0, parts: int = 16, rows: int = 10_000) -> dict[str, str]:
+    """Options of a parallel read of a database table: ranges of a numeric key, one a partition; the database's dialect is Spark's affair."""
+    out = {"url": url, "dbtable": source, "fetchsize": str(rows)}
+    if key is not None:
+        out |= {"partitionColumn": key, "lowerBound": str(low), "upperBound": str(max(high, low + 1)), "numPartitions": str(parts)}
+    return out
+
+
+def from_database(spark: SparkSession, url: str, source: str, **more) -> DataFrame:
+    """A table or bracketed query of a database; its driver must be on the class path."""
+    return spark.read.format("jdbc").options(**jdbc_options(url, source, **more)).load()
+
+
+def year_of_name(path: Column) -> Column:
+    """The year in a file's name, or null."""
+    return F.nullif(F.regexp_extract(F.substring_index(path, "/", -1), r"(?:^|[^0-9])((?:19|20)[0-9]{2})(?:[^0-9]|$)", 1), F.lit("")).cast("int")
+
+
+def store_profiles(profiles: DataFrame, path: str, turn: int) -> None:
+    """Appends the profiles of one turn; a turn that is written again replaces itself."""
+    profiles.withColumn("turn", F.lit(turn)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("turn").parquet(path)
+
+
+def stored_profiles(spark: SparkSession, path: str, key: list[str]) -> DataFrame:
+    """The latest profile of each key."""
+    return latest(spark.read.parquet(path), key, ["turn"])
+
+
 def blue(files: DataFrame) -> DataFrame:
     """path, pos, code, text of the runs marked blue in word-processor documents."""
 

@@ -27,6 +27,8 @@ class Parsed:
     source: str = ""
     note: str = ""
     domain: str = ""
+    section_title: str = ""
+    section_title_en: str = ""
     section_file: str = ""
     table_order: int = 0
     header_rows: int = 1
@@ -164,8 +166,8 @@ def split_pipe_row(line: str) -> list[str]:
 _RULE = re.compile(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
 
 
-def parse_markup(text: str, name: str = "") -> list[Parsed]:
-    """All tables of a Markdown or HTML text in order; a code occurring again becomes the next part of its table."""
+def parse_markup(text: str, name: str = "", number: bool = True) -> list[Parsed]:
+    """All tables of a Markdown or HTML text in order; a code occurring again becomes the next part of its table, unless told not to number."""
     lines = text.splitlines()
     blocks: list[tuple[int, int, list[list[str]], int]] = []
     html = _Html()
@@ -185,7 +187,7 @@ def parse_markup(text: str, name: str = "") -> list[Parsed]:
             i += 1
     out: list[Parsed] = []
     last = Parsed()
-    after = 0
+    after, section, section_en = 0, "", ""
     for order, (start, end, matrix, heads) in enumerate(sorted(blocks)):
         p = Parsed(section_file=name, table_order=order)
         for line in lines[after:start]:
@@ -195,8 +197,11 @@ def parse_markup(text: str, name: str = "") -> list[Parsed]:
                     setattr(out[-1], key, "\n".join(x for x in (getattr(out[-1], key), label[1].strip()) if x))
             elif CODE.search(line):
                 p.code, p.title, p.title_en = title_parts(line)
+            elif heading := re.match(r"#+\s+(.+)", line):
+                _, section, section_en = title_parts(heading[1])
             unit, date = unit_and_date(line)
             p.unit, p.base_date = p.unit or unit, p.base_date or date
+        p.section_title, p.section_title_en = section, section_en
         after = end + 1
         matrix = trimmed(take_metadata(p, matrix))
         if len(matrix) < 2 or len(matrix[0]) < 2:
@@ -210,7 +215,7 @@ def parse_markup(text: str, name: str = "") -> list[Parsed]:
         if out and (label := re.match(r"\s*(주|출처|자료)\s*\d*\s*[):：]\s*(.+)", line)):
             key = "note" if label[1] == "주" else "source"
             setattr(out[-1], key, "\n".join(x for x in (getattr(out[-1], key), label[2].strip()) if x))
-    return numbered(out)
+    return numbered(out) if number else out
 
 
 def numbered(tables: list[Parsed]) -> list[Parsed]:
