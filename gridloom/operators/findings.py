@@ -45,11 +45,6 @@ def dedupe_issues(checks: DataFrame, key: list[str], order: list[str]) -> DataFr
     return checks.where(~F.col("passed")).withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy(*order))).where("n = 1").drop("n")
 
 
-def ordered(checks: DataFrame) -> DataFrame:
-    """Failing first, by severity, then place; findings without a row come last."""
-    return checks.orderBy(F.col("passed"), F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "warning", 1).otherwise(2), F.col("table_id"), F.col("row_index").asc_nulls_last(), F.col("col_index").asc_nulls_last())
-
-
 def visible(checks: DataFrame, tables: DataFrame, hidden: tuple[str, ...] = ("outlier_columns",)) -> DataFrame:
     """table_id, status, issues of every table (table_id) from the checks that aren't hidden; one without any is normal."""
     seen = rollup(checks.where(~F.col("type").isin(*hidden)))

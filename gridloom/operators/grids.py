@@ -196,3 +196,10 @@ def inherited_units(tables: DataFrame) -> DataFrame:
     seen = F.collect_set(unit).over(w)
     date = F.last(F.nullif(F.trim("base_date"), F.lit("")), ignorenulls=True).over(w)
     return tables.withColumns({"unit": F.coalesce(unit, F.when(F.size(seen) == 1, seen[0]), F.lit("")), "base_date": F.coalesce(F.nullif(F.trim("base_date"), F.lit("")), date, F.lit(""))})
+
+
+def inherited_dates(tables: DataFrame) -> DataFrame:
+    """A part without a base date takes that of the part before it with the same unit."""
+    w = W.partitionBy("report_id", F.regexp_replace("code", r"(?U)\s+표\s*\d+$", ""), F.coalesce(F.trim("unit"), F.lit(""))).orderBy("table_order", "id").rowsBetween(W.unboundedPreceding, -1)
+    own = F.nullif(F.trim("base_date"), F.lit(""))
+    return tables.withColumn("base_date", F.coalesce(own, F.last(own, ignorenulls=True).over(w), F.lit("")))

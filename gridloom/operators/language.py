@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import labels as L
 from gridloom.functions import numeric as N
 from gridloom.functions import text as X
+from gridloom.operators.crosstable import base_code
 from gridloom.operators.relational import contains_terms, first_n, insert_ignore
 
 # How much an entry's status counts (the first one most), and the ranks that may settle a pair.
@@ -90,17 +91,30 @@ def learn(glossary: DataFrame, decided: DataFrame) -> DataFrame:
     return insert_ignore(glossary.select("source", "target", "status"), new, ["source", "target"])
 
 
-def review(work: DataFrame, client: Callable[[], Callable[[list[str]], list[str]]], batch: int = 16) -> DataFrame:
-    """fingerprint, decision by a model: `client()` is made once a task and given up to `batch` texts at a time; it must answer each."""
+def review(work: DataFrame, client: Callable[[], Callable[[list[str]], list[str]]], batch: int = 16, tries: int = 3) -> DataFrame:
+    """fingerprint, decision by a model: `client()` is made once a task and given up to `batch` texts at a time, each of which it must answer.
+
+    A batch that fails or is answered in part is tried again, then text by text; a text that still has no answer needs review.
+    """
+
+    def answered(ask: Callable[[list[str]], list[str]], texts: list[str]) -> list[str] | None:
+        for _ in range(tries):
+            try:
+                got = list(ask(texts))
+            except Exception:  # noqa: BLE001 - whatever the model's side throws, the job goes on
+                continue
+            if len(got) == len(texts):
+                return got
+        return None
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ask = client()
         for b in batches:
             texts, out = b.column(1).to_pylist(), []
             for i in range(0, len(texts), batch):
-                got = list(ask(texts[i : i + batch]))
-                want = len(texts[i : i + batch])
-                out += got if len(got) == want else ["needs review"] * want
+                part = texts[i : i + batch]
+                got = answered(ask, part)
+                out += got if got is not None else [(answered(ask, [t]) or ["needs review"])[0] for t in part]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["fingerprint", "decision"])
 
     return work.select("fingerprint", F.col("value").cast("string")).mapInArrow(kernel, "fingerprint string, decision string")
@@ -109,3 +123,111 @@ def review(work: DataFrame, client: Callable[[], Callable[[list[str]], list[str]
 def no_model() -> Callable[[list[str]], list[str]]:
     """The default client: every text stays open."""
     return lambda texts: ["open"] * len(texts)
+
+
+def preview(tables: DataFrame, cells: DataFrame, table_id: int, client: Callable[[], Callable[[list[str]], list[str]]] = no_model) -> DataFrame:
+    """value, decision of the texts of one table, without anything being kept; reads that table's cells alone."""
+    t = cells.join(tables.where(F.col("id") == table_id).select(F.col("id").alias("table_id")), "table_id", "left_semi")
+    work = candidates(t).select("value").distinct().withColumn("fingerprint", X.fingerprint(F.col("value")))
+    return work.join(review(work, client), "fingerprint").select("value", "decision")
+
+
+def text_candidates(tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """table_id, place, row_index, col_index, kind, value of all texts to review: titles, sections, captions and cells, in pieces."""
+    none = F.lit(None).cast("int")
+    fields = F.explode(F.array(*[F.struct(F.lit(k).alias("place"), v.alias("value")) for k, v in (("title", F.concat_ws("\n", "title", F.nullif("title_en", F.lit("")))), ("section", F.concat_ws("\n", F.nullif("section_title", F.lit("")), F.nullif("section_title_en", F.lit("")))), ("caption", L.caption(F.coalesce("raw_context", F.lit("")))))]))
+    t = tables.select(F.col("id").alias("table_id"), fields.alias("f")).select("table_id", "f.place", none.alias("row_index"), none.alias("col_index"), "f.value")
+    every = t.unionByName(cells.select("table_id", F.lit("cell").alias("place"), "row_index", "col_index", F.col("text_value").alias("value"))).where(X.has_language(F.col("value")))
+    every = every.withColumn("value", F.explode(X.chunks(F.col("value"))))
+    kinds = F.when(X.bilingual_pair(F.col("value")).isNotNull(), F.array(F.lit("spelling"), F.lit("translation"))).otherwise(F.array(F.lit("spelling")))
+    return every.withColumn("kind", F.explode(kinds)).distinct()
+
+
+def other_reports(pairs: DataFrame, key: list[str], report: str = "report_id") -> DataFrame:
+    """pairs with n_other: in how many other reports the same key stands, so that a text doesn't vouch for itself."""
+    n = pairs.select(*key, report).distinct().groupBy(*key).agg(F.count("*").alias("__n"))
+    return pairs.join(n, key).withColumn("n_other", F.col("__n") - 1).drop("__n")
+
+
+def regions(texts: DataFrame, text: str, names: DataFrame) -> DataFrame:
+    """texts with ko, en, expected, decision: what a region list says in English against the names (source, target).
+
+    normal if the text has the right English, mismatch if it has another, suggest if it has none; texts with a name that
+    isn't listed are left out.
+    """
+    t = texts.withColumn("__id", F.monotonically_increasing_id())
+    first = r"(?s)^([^A-Za-z]*?[가-힣][^A-Za-z]*?)[\s,;/]*([A-Za-z].*)?$"
+    t = t.where(F.col(text).rlike(first)).withColumns({"ko": F.trim(F.regexp_replace(F.regexp_extract(text, first, 1), r"\s+", " ")), "en": F.nullif(F.trim(F.regexp_extract(text, first, 2)), F.lit(""))})
+    n = names.select(F.regexp_replace("source", X.WS, "").alias("__k"), F.col("target").alias("__t")).groupBy("__k").agg(F.min("__t").alias("__t"))
+    parts = t.select("__id", F.posexplode(F.filter(F.split("ko", r"\s*[,;]\s*"), lambda x: F.trim(x) != "")).alias("__pos", "__name")).withColumn("__k", F.regexp_replace("__name", X.WS, ""))
+    found = parts.join(n, "__k", "left").groupBy("__id").agg(F.count_if(F.col("__t").isNull()).alias("__open"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__pos", "__t"))), lambda x: x["__t"]), ", ").alias("expected")).where("__open = 0")
+    key = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]+", "")
+    decision = F.when(F.col("en").isNull(), "suggest").when(key(F.col("en")) == key(F.col("expected")), "normal").otherwise("mismatch")
+    return t.join(found.drop("__open"), "__id").drop("__id").withColumn("decision", decision)
+
+
+def plausible(found: DataFrame) -> DataFrame:
+    """found (source_text, value, expected) with `refused`: why a model's proposal isn't taken, null if it is.
+
+    The value must still stand in its source; the proposal must differ from it by more than blanks and case, hold the
+    same numbers, no placeholder and no other script, and be of like length.
+    """
+    bare = lambda c: F.lower(F.regexp_replace(c, X.WS, ""))
+    numbers = lambda c: F.array_sort(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)))
+    v, e = F.col("value"), F.coalesce("expected", F.lit(""))
+    return found.withColumn("refused", F.when(~F.coalesce(F.col("source_text").contains(v), F.lit(False)), "source has changed").when(F.trim(e) == "", "nothing proposed").when(bare(e) == bare(v), "nothing differs").when(e.rlike("<NUM>|<[A-Z]+>|\\{\\{"), "placeholder left").when(numbers(e) != numbers(v), "numbers differ").when(X.has_hangul(e) != X.has_hangul(v), "another script").when((F.length(e) > 2 * F.length(v) + 20) | (F.length(v) > 2 * F.length(e) + 20), "another length"))
+
+
+def settled(findings: DataFrame) -> DataFrame:
+    """findings (current_value, expected_value, status) with those that call for no action set to normal, and why: the same words in any order, the same after cleaning, or dates that only are written otherwise."""
+    c, e = F.col("current_value"), F.col("expected_value")
+    why = F.when(X.review_text(c) == X.review_text(e), "same text").when(X.same_words(c, e), "same words").when(L.is_temporal(c) & (F.regexp_replace(e, "[^0-9]", "") == F.regexp_replace(L.temporal_english(c), "[^0-9]", "")), "same date")
+    return findings.withColumn("why", F.when(F.col("status") != "정상", why)).withColumn("status", F.when(F.col("why").isNotNull(), "정상").otherwise(F.col("status")))
+
+
+def placed(marked: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """marked (mark_id, code, text, col_index or null) with place (cell, field or none), table_id, row_index, col_index.
+
+    First the cells of the tables of its code, or of a part of it: equal texts before texts that hold it, in its column
+    if it names one, the first in reading order. What is left is looked for in the tables' titles, sources and notes.
+    """
+    key = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), X.WS, ""))
+    m = marked.select("mark_id", "code", key(F.col("text")).alias("k"), F.col("col_index").alias("want")).where("k <> ''")
+    t = tables.select(F.col("id").alias("table_id"), "code", base_code(F.col("code")).alias("base"), key(F.concat_ws("|", "title", "title_en", "source", "note")).alias("fields"))
+    near = m.join(t.withColumnRenamed("code", "own"), (F.col("code") == F.col("own")) | (F.col("code") == F.col("base")))
+    c = cells.select("table_id", "row_index", "col_index", key(F.col("text_value")).alias("cell"))
+    hit = near.join(c, "table_id").where((F.col("want").isNull() | (F.col("want") == F.col("col_index"))) & F.col("cell").contains(F.col("k")))
+    best = hit.groupBy("mark_id").agg(F.min(F.struct((F.col("cell") != F.col("k")).cast("int").alias("n"), "table_id", "row_index", "col_index")).alias("b")).select("mark_id", F.lit("cell").alias("place"), "b.table_id", "b.row_index", "b.col_index")
+    rest = near.join(best, "mark_id", "left_anti").where(F.col("fields").contains(F.col("k"))).groupBy("mark_id").agg(F.min("table_id").alias("table_id")).withColumn("place", F.lit("field"))
+    both = best.unionByName(rest, allowMissingColumns=True)
+    return both.unionByName(marked.select("mark_id").join(both, "mark_id", "left_anti").withColumn("place", F.lit("none")), allowMissingColumns=True)
+
+
+def synchronised(marked: DataFrame, checks: DataFrame) -> DataFrame:
+    """code, text, marks, checks, status: every marked text once, with how often it was marked and checked: open, checked or more checks than marks."""
+    m = marked.groupBy("code", F.trim("text").alias("text")).agg(F.count("*").alias("marks"))
+    c = checks.groupBy("code", F.trim("text").alias("text")).agg(F.count("*").alias("checks"))
+    j = m.join(c, ["code", "text"], "full").na.fill(0, ["marks", "checks"])
+    return j.withColumn("status", F.when(F.col("checks") < F.col("marks"), "open").when(F.col("checks") == F.col("marks"), "checked").otherwise("stale"))
+
+
+def audited(glossary: DataFrame, official: DataFrame, terms: dict[str, str] = SPELLING) -> DataFrame:
+    """glossary with `verdict`: quarantined if it holds a known misspelling, verified if an official entry has the same pair, contradicted if one has another English for its source, else open."""
+    wrong = F.col("source").rlike("|".join(terms)) | F.col("target").rlike("|".join(terms))
+    o = official.select(L.source_key(F.col("source")).alias("__s"), L.target_key(F.col("target")).alias("__t")).distinct()
+    g = glossary.withColumns({"__s": L.source_key(F.col("source")), "__t": L.target_key(F.col("target"))})
+    same = o.withColumn("__same", F.lit(True))
+    known = o.select("__s").distinct().withColumn("__known", F.lit(True))
+    g = g.join(same, ["__s", "__t"], "left").join(known, "__s", "left")
+    verdict = F.when(F.coalesce(wrong, F.lit(False)), "quarantined").when(F.col("__same"), "verified").when(F.col("__known"), "contradicted").otherwise("open")
+    return g.withColumn("verdict", verdict).drop("__s", "__t", "__same", "__known")
+
+
+def rebuilt(tables: DataFrame, changes: DataFrame) -> DataFrame:
+    """table_id, scopes: what must be computed again. changes: scope (report, code, table), value, what (calculation, language or marks); a code means its parts and everything below it."""
+    t = tables.select(F.col("id").alias("table_id"), F.col("report_id").cast("string").alias("report"), base_code(F.col("code")).alias("base"), F.col("id").cast("string").alias("own"))
+    c = changes.select("scope", F.col("value").cast("string").alias("value"), "what")
+    # A base code and all above it, so that a change of any of these is found by equality.
+    up = F.transform(F.sequence(F.lit(1), F.size(F.split("base", "-"))), lambda n: F.array_join(F.slice(F.split("base", "-"), F.lit(1), n), "-"))
+    keys = t.select("table_id", F.explode(F.concat(F.array(F.struct(F.lit("report").alias("scope"), F.col("report").alias("value")), F.struct(F.lit("table").alias("scope"), F.col("own").alias("value"))), F.transform(up, lambda v: F.struct(F.lit("code").alias("scope"), v.alias("value"))))).alias("k")).select("table_id", "k.*")
+    return keys.join(c, ["scope", "value"]).groupBy("table_id").agg(F.array_sort(F.collect_set("what")).alias("scopes"))

@@ -61,3 +61,28 @@ def covered(a: Column, b: Column) -> Column:
     """Whether all phone numbers of a are among those of b, by their digits."""
     digits = lambda x: F.transform(F.coalesce(x, F.array().cast("array<string>")), X.phone_digits)
     return F.size(F.array_except(digits(a), digits(b))) == 0
+
+
+def mismatches(tables: DataFrame, owners: DataFrame) -> DataFrame:
+    """tables (key, department, officers, phones) that differ from what is expected of them (owners: key, department, officers, phones), with `fields`: department, officers, phones or match.
+
+    A table without an entry has the field match; what an entry doesn't name isn't compared; entries without department
+    and officers are none.
+    """
+    o = owners.select("key", F.col("department").alias("want_department"), F.col("officers").alias("want_officers"), F.col("phones").alias("want_phones"), F.lit(True).alias("__has"))
+    j = tables.join(o, "key", "left")
+    said = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    named = F.coalesce(F.col("want_department") != "", F.lit(False))
+    fields = F.array_compact(F.array(
+        F.when(F.col("__has").isNull(), "match"), F.when(named & ~F.coalesce(X.same_department(F.col("want_department"), F.col("department")), F.lit(False)), "department"),
+        F.when(said(F.col("want_officers")) & ~same_set(F.col("want_officers"), F.col("officers")), "officers"), F.when(said(F.col("want_phones")) & ~F.coalesce(covered(F.col("want_phones"), F.coalesce("phones", F.array().cast("array<string>"))), F.lit(False)), "phones"),
+    ))
+    out = j.withColumn("fields", fields).where(F.size("fields") > 0)
+    return out.where(F.col("__has").isNull() | named | said(F.col("want_officers"))).drop("__has")
+
+
+def expected_phones(officers: DataFrame, users: DataFrame) -> DataFrame:
+    """key, phones of the officers (key, name, department) as the directory has them; a key none of whose officers has one is left out."""
+    r = resolve_users(officers.select(F.col("key").alias("id"), "name", "department"), users).where("user_row is not null")
+    p = r.join(users.where("phone <> ''").select(F.col("row_number").alias("user_row"), "phone"), "user_row")
+    return p.groupBy(F.col("id").alias("key")).agg(F.array_sort(F.collect_set("phone")).alias("phones"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import numeric as N
 from gridloom.functions import text as X
 from gridloom.operators.edges import NORMAL
+from gridloom.session import cut
 
 # Types that are shown under another one, and the spec types whose findings mark a row or a column.
 SHOWN_AS = {"증감액 검수": "합계 검수", "증감률 검수": "비율 검수", "평균 검수": "비율 검수"}
@@ -74,46 +74,31 @@ def listed_reports(reports: DataFrame) -> DataFrame:
     return reports.withColumn("place", F.row_number().over(W.orderBy(F.desc("year"), F.desc_nulls_last("imported_at"), F.desc("id"))))
 
 
-def _layers(rows: pd.DataFrame) -> pd.DataFrame:
-    """Places of one table's checks: a check comes after every check of its type that has its target among the operands."""
-    rows = rows.sort_values(["type_order", "spec_id", "row", "col"], kind="stable").reset_index(drop=True)
-    at: dict[tuple, list[int]] = {}
-    for i, (t, r, c) in enumerate(zip(rows["type"], rows["row"], rows["col"])):
-        at.setdefault((t, r, c), []).append(i)
-    below = [{j for r, c in ops for j in at.get((t, r, c), ()) if j != i} for i, (t, ops) in enumerate(zip(rows["type"], rows["operands"]))]
-    above = [0] * len(rows)
-    for kids in below:
-        for j in kids:
-            above[j] += 1
-    import heapq
-
-    ready = [i for i, n in enumerate(above) if not n]
-    heapq.heapify(ready)
-    order: list[int] = []
-    while ready:
-        i = heapq.heappop(ready)
-        order.append(i)
-        for j in below[i]:
-            above[j] -= 1
-            if not above[j]:
-                heapq.heappush(ready, j)
-    seen = set(order)
-    order += [i for i in range(len(rows)) if i not in seen]  # checks in a circle
-    place = [0] * len(rows)
-    for k, i in enumerate(order):
-        place[i] = k + 1
-    return rows.assign(place=place)[["spec_id", "table_id", "row", "col", "place"]]
-
-
 def calculation_order(highlights: DataFrame, kinds: DataFrame) -> DataFrame:
-    """spec_id, table_id, row, col, place: the checks of each table so that totals come before what they are made of (topological, by type, then id).
+    """spec_id, table_id, row, col, layer, place: the checks of each table so that totals come before what they are made of.
 
-    highlights: as edges.highlights gives them; kinds: spec_id, type. The checks of one table meet in one task.
+    highlights: as edges.highlights gives them; kinds: spec_id, type. A check is below another of its type if its target
+    is among the other's operands. Layer by layer the checks that nothing left is above of are taken out, as many rounds
+    as totals are nested; checks in a circle come last. In a table the order is by type, layer, then id and cell.
     """
-    ops = F.transform(F.filter("cells", lambda x: x["role"] == "related"), lambda x: F.array(x["row"], x["col"]))
     rank = F.coalesce(*[F.when(F.col("type") == t, F.lit(i)) for i, t in enumerate(TYPE_ORDER)], F.lit(999))
-    x = highlights.join(kinds, "spec_id").select("spec_id", "table_id", F.col("target_row").alias("row"), F.col("target_col").alias("col"), "type", rank.alias("type_order"), ops.alias("operands"))
-    return x.groupBy("table_id").applyInPandas(_layers, "spec_id string, table_id long, row int, col int, place int")
+    x = highlights.join(kinds, "spec_id").select("spec_id", "table_id", F.col("target_row").alias("row"), F.col("target_col").alias("col"), "type", rank.alias("type_order"), "cells")
+    key = F.xxhash64("spec_id", "row", "col")
+    nodes = cut(x.select(key.alias("node"), "spec_id", "table_id", "row", "col", "type", "type_order"))
+    ops = x.select(key.alias("above"), "table_id", "type", F.explode(F.filter("cells", lambda c: c["role"] == "related")).alias("c")).select("above", "table_id", "type", F.col("c.row").alias("row"), F.col("c.col").alias("col"))
+    left = cut(ops.join(nodes.select("node", "table_id", "type", "row", "col"), ["table_id", "type", "row", "col"]).where("above <> node").select("above", "node").distinct())
+    open_, done, layer = nodes.select("node"), None, 0
+    while not open_.isEmpty():
+        free = cut(open_.join(left.select("node").distinct(), "node", "left_anti").withColumn("layer", F.lit(layer)))
+        if free.isEmpty():
+            free = cut(open_.withColumn("layer", F.lit(layer)))
+        done = free if done is None else done.unionAll(free)
+        left = cut(left.join(free.select(F.col("node").alias("above")), "above", "left_anti"))
+        open_, layer = cut(open_.join(free, "node", "left_anti")), layer + 1
+    if done is None:
+        done = nodes.select("node", F.lit(0).alias("layer"))
+    w = W.partitionBy("table_id").orderBy("type_order", "layer", "spec_id", "row", "col")
+    return nodes.join(done, "node").withColumn("place", F.row_number().over(w)).select("spec_id", "table_id", "row", "col", "layer", "place")
 
 
 def report_list(reports: DataFrame, tables: DataFrame, checks: DataFrame) -> DataFrame:
@@ -167,3 +152,28 @@ def issue_places(issues: DataFrame, cells: DataFrame) -> DataFrame:
 def decision_counts(decisions: DataFrame, by: str) -> DataFrame:
     """by, n: how often each decision was made, all of them together under 'all'."""
     return decisions.groupBy(F.col(by)).agg(F.count("*").alias("n")).unionByName(decisions.agg(F.count("*").alias("n")).select(F.lit("all").alias(by), "n"))
+
+
+#: Types whose findings go into the workbooks of the main checks, in their order.
+CORE = ("합계 검수", "비율 검수", "메타정보 검수", "이상치 검수")
+
+
+def core_findings(checks: DataFrame, types: tuple[str, ...] = CORE) -> DataFrame:
+    """The failed checks of the main types with `part` (their type's place) and `place` among the part's of their table: by row and column."""
+    rank = F.coalesce(*[F.when(shown_type(F.col("type")) == t, F.lit(i + 1)) for i, t in enumerate(types)])
+    c = checks.where(~F.col("passed")).withColumn("part", rank).where("part is not null")
+    return c.withColumn("place", F.row_number().over(W.partitionBy("part", "table_id").orderBy(F.col("row_index").asc_nulls_last(), F.col("col_index").asc_nulls_last(), "spec_id")))
+
+
+def validation_index(checks: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """base, title, table_id, row_index, col_index, row_label, column_label, current_value, expected_value, departments, officers, phones: every failed check with whom to ask."""
+    from gridloom.functions import labels as L
+    from gridloom.operators import grids
+    from gridloom.operators.crosstable import base_code
+
+    contact = L.contacts(F.coalesce("source", F.lit("")))
+    t = tables.select(F.col("id").alias("table_id"), base_code(F.col("code")).alias("base"), "title", contact.alias("c")).select("table_id", "base", "title", *[F.array_join(f"c.{k}", " / ").alias(k) for k in ("departments", "officers", "phones")])
+    heads = grids.header_stacks(cells).select("table_id", "col_index", grids.column_text(F.col("stack"), F.col("col_index")).alias("column_label"))
+    rows = cells.where("not is_header and col_index = 0").select("table_id", "row_index", X.display(F.col("text_value")).alias("row_label"))
+    c = checks.where(~F.col("passed")).select("table_id", "row_index", "col_index", "current_value", "expected_value")
+    return c.join(t, "table_id").join(rows, ["table_id", "row_index"], "left").join(heads, ["table_id", "col_index"], "left")

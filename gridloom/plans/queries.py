@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.operators import packed, snapshots, units
-from gridloom.plans import checks, documents, grids, inference, planted, registry, relational, scalars, texts  # noqa: F401
+from gridloom.plans import checks, documents, grids, inference, planted, registry, relational, review, scalars, texts  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **registry.QUERIES,

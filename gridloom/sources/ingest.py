@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -167,7 +169,25 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 
 
+#: Encodings that Spark's own reader takes.
+NATIVE = ("ISO-8859-1", "US-ASCII", "UTF-16", "UTF-16BE", "UTF-16LE", "UTF-32", "UTF-8")
+
+
 def lookup_csv(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    return spark.read.option("header", True).option("encoding", encoding).schema(schema).csv(path)
+    """A lookup file with a header, by column names; files in another encoding than NATIVE are decoded whole, one in a task, a byte that isn't in it as a mark."""
+    if encoding.upper() in NATIVE:
+        return spark.read.option("header", True).option("encoding", encoding).schema(schema).csv(path)
+    kinds = spark.createDataFrame([], schema).schema
+    names = kinds.names
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                rows = list(csv.DictReader(io.StringIO(content.decode(encoding, "replace"), newline="")))
+                yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], pa.string()) for n in names], names=names)
+
+    out = spark.read.format("binaryFile").load(path).select("content").mapInArrow(kernel, ", ".join(f"`{n}` string" for n in names))
+    return out.select(*[F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) for f in kinds])
+
 
 
