@@ -170,8 +170,8 @@ def structure_signatures(cells: DataFrame) -> DataFrame:
 
 
 def hierarchy(tables: DataFrame) -> DataFrame:
-    """domain, section, tables: the tables of each section in order, as array of (code, title)."""
-    t = tables.select("domain", "section_title", F.struct("table_order", "code", "title").alias("t"))
+    """domain, section, tables: the tables of each section in order, as array of (table_order, code, title, title_en)."""
+    t = tables.select("domain", "section_title", F.struct("table_order", "code", "title", "title_en").alias("t"))
     return t.groupBy("domain", "section_title").agg(F.array_sort(F.collect_list("t")).alias("tables"))
 
 

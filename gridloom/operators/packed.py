@@ -142,3 +142,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = (("reference_owners", "owner_id", "officer_raw"), ("stat_tables", "id", "source"))
     owners, sources = (packed_values(table(spark, sf_dir, t), i, c).where("n >= 2").select(F.lit(f"{t}.{c}").alias("field_name"), "row_id", "pos", "item") for t, i, c in fields)
     return owners.unionAll(sources)
+
+
+def p5_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field_name, row_id, pos, n, item, error: every value, of texts with a single one too, and what was malformed in its text."""
+    fields = (("reference_owners", "owner_id", "officer_raw"), ("stat_tables", "id", "source"))
+    owners, sources = (packed_values(table(spark, sf_dir, t), i, c).select(F.lit(f"{t}.{c}").alias("field_name"), "row_id", "pos", "n", "item", "error") for t, i, c in fields)
+    return owners.unionAll(sources)

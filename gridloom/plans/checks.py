@@ -136,6 +136,15 @@ def grid_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("table_id", "target_row", "target_col", F.size("cells").alias("n_cells"))
 
 
+@query("grid_highlight_cells", GRID + f"SELECT a.t AS table_id, a.c AS target_col, o.r AS row, o.c AS col, CASE WHEN o.r = a.r THEN 'target' ELSE 'related' END AS role FROM g a JOIN g o ON o.t = a.t AND o.c = a.c AND o.r <= a.r WHERE a.r = 6 AND a.c <= {N}")
+def grid_highlight_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells themselves that a column's sum marks."""
+    cells = order_grid(spark, sf_dir)
+    last = cells.groupBy("table_id").agg(F.max("row_index").alias("last"))
+    out = edges.highlights(_specs(spark, "column_sum", last, target_row="last", columns=years, operand_rows="sequence(1, last - 1)"), cells, ["column_sum"])
+    return out.select("table_id", "target_col", F.explode("cells").alias("h")).select("table_id", "target_col", "h.*")
+
+
 def _order_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = cut(order_grid(spark, sf_dir))
     last = cells.groupBy("table_id").agg(F.max("row_index").alias("last"))

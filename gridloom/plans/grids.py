@@ -58,6 +58,12 @@ def num_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(p == F.floor(p), N.format_number(p)).alias("shown"))
 
 
+@query("num_format_all", "SELECT l_orderkey, l_linenumber, CASE WHEN x = floor(x) THEN format('{:,}', CAST(x AS BIGINT)) ELSE format('{:,.1f}', x) END AS shown FROM (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 2 = 0 THEN floor(l_extendedprice) ELSE l_extendedprice END AS x FROM lineitem)")
+def num_format_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.when(F.col("l_linenumber") % 2 == 0, F.floor("l_extendedprice").cast("double")).otherwise(F.col("l_extendedprice"))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.format_number(p).alias("shown"))
+
+
 @query("str_normalize", f"SELECT id, {NORMAL.replace("{c}", 'title')} AS title_key, {NORMAL.replace("{c}", 'title_en')} AS title_en_key, {DISPLAY.replace("{c}", 'source')} AS source_text FROM stat_tables")
 def str_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "stat_tables").select("id", X.normalize(F.col("title")).alias("title_key"), X.normalize(F.col("title_en")).alias("title_en_key"), X.display(F.col("source")).alias("source_text"))
@@ -137,6 +143,19 @@ def prj_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.dense(cells_of(spark, sf_dir).withColumn("text_value", F.coalesce("text_value", F.lit("")))).select("table_id", "row_index", F.size(F.filter("texts", lambda x: x.isNotNull())).cast("long").alias("cells"), F.size("texts").alias("width"))
 
 
+@query("prj_dense_rows", f"WITH {CELLS} SELECT table_id, row_index, string_agg(coalesce(text_value, '∅'), '|' ORDER BY col_index) AS line FROM cells GROUP BY ALL")
+def prj_dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of each row in order; grids of the yearbook have no holes."""
+    d = grids.dense(cells_of(spark, sf_dir))
+    return d.select("table_id", "row_index", F.array_join(F.transform("texts", lambda x: F.coalesce(x, F.lit("∅"))), "|").alias("line"))
+
+
+@query("prj_hierarchy_full", "SELECT domain, section_title, string_agg(table_order || ':' || code || ':' || title || ':' || coalesce(title_en, ''), '|' ORDER BY table_order, code, title, title_en) AS tables FROM stat_tables GROUP BY ALL")
+def prj_hierarchy_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = grids.hierarchy(table(spark, sf_dir, "stat_tables"))
+    return h.select("domain", "section_title", F.array_join(F.transform("tables", lambda t: F.concat_ws(":", t["table_order"].cast("string"), t["code"], t["title"], F.coalesce(t["title_en"], F.lit("")))), "|").alias("tables"))
+
+
 @query("prj_round_trip", f"WITH {CELLS} SELECT table_id, row_index, col_index, text_value FROM cells WHERE text_value IS NOT NULL")
 def prj_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grids.long(grids.dense(cells_of(spark, sf_dir)))

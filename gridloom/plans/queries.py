@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": snapshots.p1_found,
     "p1_values": snapshots.p1_values,
     "p5_found": packed.p5_found,
+    "p5_values": packed.p5_values,
     "p6_found": units.p6_found,
     "p6_units": units.p6_units,
 }

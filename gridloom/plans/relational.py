@@ -36,6 +36,19 @@ def join_anti(s: SparkSession, d: str) -> DataFrame:
     return T(s, d, "customer").select("c_custkey").join(T(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
+@query("join_anti_rare", "SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 48)")
+def join_anti_rare(s: SparkSession, d: str) -> DataFrame:
+    """Parts never ordered in a large number."""
+    return T(s, d, "part").select("p_partkey").join(T(s, d, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+
+
+@query("join_contains_many", "SELECT t.id, g.entry_id FROM stat_tables t JOIN official_translation_glossary g ON length(g.source) >= 2 AND contains(t.title, g.source)")
+def join_contains_many(s: SparkSession, d: str) -> DataFrame:
+    """The way for dictionaries too large to be broadcast, by pairs of characters."""
+    g = T(s, d, "official_translation_glossary").where("source is not null").select("entry_id", "source")
+    return R.contains_terms(T(s, d, "stat_tables").select("id", "title"), "title", g, "source", limit_bytes=-1).select("id", "entry_id")
+
+
 @query("join_null_safe", "SELECT a.doc_id, b.n AS peers FROM documents a JOIN (SELECT table_code, lang, count(*) AS n FROM documents GROUP BY ALL) b ON a.table_code IS NOT DISTINCT FROM b.table_code AND a.lang IS NOT DISTINCT FROM b.lang")
 def join_null_safe(s: SparkSession, d: str) -> DataFrame:
     x = T(s, d, "documents").select("doc_id", "table_code", "lang")
