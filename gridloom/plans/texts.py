@@ -125,6 +125,24 @@ def language_cache_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("reconcile_titles")
 def reconcile_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables of each report with the owners' titles of its year."""
+    return reconcile.match_titles(*_titles(spark, sf_dir))
+
+
+@query("reconcile_over_years")
+def reconcile_over_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, and then with those of the year before."""
+    return reconcile.match_over_years(*_titles(spark, sf_dir))
+
+
+@query("reconcile_similar_titles", f"WITH r AS (SELECT DISTINCT {KEY('title')} AS k FROM stat_tables) SELECT a.k || 'x' AS key, a.k AS rkey FROM r a WHERE a.k <> ''")
+def reconcile_similar_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every title with a letter more, paired with its own; other pairs aren't shown."""
+    k = table(spark, sf_dir, "stat_tables").select(F.lit(1).alias("block"), X.normalize(F.col("title")).alias("key")).where("key <> ''").distinct()
+    found = reconcile.similar_titles(k.withColumn("key", F.concat("key", F.lit("x"))), k, 0.8)
+    return found.where(F.col("key") == F.concat("rkey", F.lit("x"))).select("key", "rkey")
+
+
+def _titles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     years = table(spark, sf_dir, "annual_reports").select(F.col("id").alias("report_id"), F.col("year").alias("block"))
     l = table(spark, sf_dir, "logical_tables").join(years, "report_id").select(F.col("logical_id").alias("left_id"), "block", "title", F.col("table_order").alias("n"))  # noqa: E741
     r = table(spark, sf_dir, "reference_owners").select(F.col("owner_id").alias("right_id"), F.col("year").alias("block"), F.regexp_replace("title", r"\s+-\s.*$", "").alias("title"), F.col("row_number").alias("n"))
@@ -132,7 +150,7 @@ def reconcile_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     def placed(x: DataFrame, i: str) -> DataFrame:
         return x.join(x.groupBy("block").agg(F.max("n").alias("m")), "block").select(i, "block", "title", (F.col("n") / F.col("m")).alias("pos"))
 
-    return reconcile.match_titles(placed(l, "left_id"), placed(r, "right_id"))
+    return placed(l, "left_id"), placed(r, "right_id")
 
 
 @query("reconcile_users", "WITH u AS (SELECT replace(name, ' ', '') AS key, row_number AS user_row, department FROM onnara_users), n AS (SELECT row_number AS id, replace(name, ' ', '') AS key FROM onnara_users WHERE name IS NOT NULL) SELECT n.id, count(*) AS namesakes FROM n JOIN u USING (key) GROUP BY n.id")
