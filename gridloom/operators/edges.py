@@ -87,7 +87,7 @@ def _inside(*arrays: Column, of: str) -> Column:
 
 def _edges(rows: DataFrame, col: Column, refs: Column, part: str = "") -> DataFrame:
     """Targets (row, col) with `refs`: array of struct(t, r, c, role, sign, pair), exploded; empty lists keep the target."""
-    return rows.select("spec_id", "table_id", "row", col.alias("col"), F.lit(part).alias("part"), F.explode_outer(refs).alias("e")).select("*", "e.*").drop("e")
+    return rows.select("spec_id", "table_id", "type", "row", col.alias("col"), F.lit(part).alias("part"), F.explode_outer(refs).alias("e")).select("*", "e.*").drop("e")
 
 
 def _ref(r: Column, c: Column, role: str, sign: Column | None = None, pair: Column | None = None, t: Column | None = None) -> Column:
@@ -223,7 +223,7 @@ def evaluate(specs: DataFrame, cells: DataFrame, types: list[str] | None = None)
     plan = F.create_map(*[x for k, v in PLAN.items() if types is None or k in types for x in (F.lit(k), F.struct(F.lit(v[0]).alias("formula"), F.lit(v[1]).alias("strict"), F.lit(v[2]).alias("of_target"), F.lit(v[3]).alias("of_operand"), F.lit(v[4]).alias("least")))])
     meta = specs.select("spec_id", "type", "label", "severity", "failure_status", "check_group", "tolerance", "change_tolerance", "multiplier", F.coalesce("allow_single_operand", F.lit(False)).alias("single")).withColumn("plan", plan[F.col("type")]).select("*", "plan.*").drop("plan")
     pick = lambda kind: F.coalesce(*[F.when(kind == p, F.col(c)) for p, c in (("raw", "raw"), ("target", "target"), ("operand", "operand"), ("cross_zero", "cross_zero"), ("cross_null", "cross_null"), ("leading", "leading"))])
-    e = edges.join(meta.select("spec_id", "of_operand", "formula"), "spec_id")
+    e = edges.withColumn("plan", plan[F.col("type")]).select("*", "plan.of_operand", "plan.formula").drop("plan")
     op = values.withColumnsRenamed({"table_id": "op_table", "row": "op_row", "col": "op_col"})
     e = e.join(op, ["op_table", "op_row", "op_col"], "left")
     kind = F.when(F.col("of_operand") == "leading_cross", F.when(F.col("role") == "weight", F.lit("cross_null")).otherwise(F.lit("leading"))).otherwise(F.col("of_operand"))
