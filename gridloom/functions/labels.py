@@ -268,7 +268,8 @@ def is_per_unit(label: Column) -> Column:
 
 
 def is_average(label: Column) -> Column:
-    return X.normalize(label).rlike("평균|average|mean")
+    """Whether a label names an average; the English words must stand by themselves (`Daytime and ..` holds no mean)."""
+    return label.rlike("평균") | label.rlike("(?i)(^|[^a-z])(average|mean)($|[^a-z])")
 
 
 def is_growth(label: Column) -> Column:

@@ -269,7 +269,7 @@ def flt_column_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("flt_label_kinds", f"""WITH {CELLS}, h AS (SELECT id, {D('text_value')} AS d, {K('text_value')} AS k, text_value FROM cells WHERE is_header OR col_index = 0)
     SELECT id, {TOTAL_SQL} AS total, regexp_matches(k, '(1인|인|건|개|명|회|가구|세대|대|기관)당') OR NOT regexp_matches(d, '[가-힣]') AND regexp_matches(d, '(^|[^a-z])per (person|capita|case|task|item|household|organization|unit)($|[^a-z])', 'i') AS per_unit,
-    regexp_matches(k, '평균|average|mean') AS average, regexp_matches(k, '증감률|증감율|증가율|증가률|감소율|감소률|성장률|growthrate') AS growth, regexp_matches(k, '증감|증가|감소|change') AND NOT regexp_matches(k, '증감률|증감율|증가율|증가률|감소율|감소률|성장률|growthrate') AS change_amount FROM h WHERE text_value IS NOT NULL""")
+    regexp_matches(d, '평균') OR regexp_matches(d, '(^|[^a-z])(average|mean)($|[^a-z])', 'i') AS average, regexp_matches(k, '증감률|증감율|증가율|증가률|감소율|감소률|성장률|growthrate') AS growth, regexp_matches(k, '증감|증가|감소|change') AND NOT regexp_matches(k, '증감률|증감율|증가율|증가률|감소율|감소률|성장률|growthrate') AS change_amount FROM h WHERE text_value IS NOT NULL""")
 def flt_label_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = X.display(F.col("text_value"))
     c = cells_of(spark, sf_dir).where("(is_header or col_index = 0) and text_value is not null")
