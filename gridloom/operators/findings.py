@@ -66,9 +66,8 @@ def save_run(checks: DataFrame, path: str, run_id: str) -> None:
 def medians(df: DataFrame, group: list[str], value: str) -> DataFrame:
     """group, median, n: exact medians by counts of distinct values and a sorted running count, which spills; no group is held in memory."""
     f = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    w = W.partitionBy(*group).orderBy("__v")
-    n = f.groupBy(*group).agg(F.sum("__n").alias("n"))
-    f = f.withColumn("__to", F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, 0))).join(n, group)
+    whole = W.partitionBy(*group)
+    f = f.withColumns({"__to": F.sum("__n").over(whole.orderBy("__v").rowsBetween(W.unboundedPreceding, 0)), "n": F.sum("__n").over(whole)})
     covers = lambda k: (F.col("__to") >= k) & (F.col("__to") - F.col("__n") < k)
     low, high = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
     return f.groupBy(*group).agg(((F.max(F.when(covers(low), F.col("__v"))) + F.max(F.when(covers(high), F.col("__v")))) / 2).alias("median"), F.first("n").alias("n"))
