@@ -319,6 +319,17 @@ def resolved(specs: DataFrame, cells: DataFrame, selectors: DataFrame) -> DataFr
     return out.withColumns({"target_row": F.coalesce("__t", "target_row"), "source_row": F.coalesce("__s", "source_row"), "operand_cells": cells_of}).select(*SPEC.names)
 
 
+def coordinates_exist() -> Column:
+    """Whether all rows and columns that a spec names, however deep, are numbers from 0 on."""
+    flat = ("target_row", "target_column", "numerator_column", "numerator_row", "denominator_row", "current_column", "previous_column", "value_column", "change_column", "rate_column", "weight_column", "source_column", "source_row", "source_weight_column")
+    lists = ("operand_columns", "operand_rows", "columns", "row_indices", "denominator_columns", "denominator_rows", "source_columns")
+    deep = (("operand_cells", ("row", "column")), ("terms", ("column",)), ("row_pairs", ("target_row", "source_row", "value_row", "weight_row")))
+    ok = [F.coalesce(F.col(c) >= 0, F.lit(True)) for c in flat]
+    ok += [F.coalesce(F.forall(c, lambda v: v.isNotNull() & (v >= 0)), F.lit(True)) for c in lists]
+    ok += [F.coalesce(F.forall(c, (lambda ks: lambda v: reduce(lambda a, b: a & b, (F.coalesce(v[k] >= 0, F.lit(True)) for k in ks)))(ks)), F.lit(True)) for c, ks in deep]
+    return reduce(lambda a, b: a & b, ok)
+
+
 #: Least confidence of specs that are run: sums of groups, and all else that a template gave.
 GROUP_SUM, TEMPLATE = 0.6, 0.9
 

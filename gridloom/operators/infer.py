@@ -6,7 +6,7 @@ pass ratio, and those with enough evidence stay, the best of those that explain
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -374,10 +374,52 @@ def always(tables: DataFrame, columns: DataFrame) -> DataFrame:
     return spec_rows(tables.select(F.col("id").alias("table_id")), "metadata_required", "metadata", confidence=1.0).unionAll(spec_rows(five, "outlier_columns", "outlier", columns=F.col("cols"), multiplier=20.0, confidence=0.7))
 
 
-def candidates(cells: DataFrame) -> DataFrame:
+#: Name -> generator of candidate specs from (columns, rows, cells), the former two as structure() gives them.
+GENERATORS: dict[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]] = {
+    "header formulas": lambda columns, rows, cells: header_formulas(columns),
+    "total columns": lambda columns, rows, cells: total_columns(columns),
+    "sets of columns": lambda columns, rows, cells: column_combinations(columns, cells),
+    "total rows": lambda columns, rows, cells: total_rows(columns, rows),
+    "running sums": implicit_subtotals,
+    "one total": wrapped_totals,
+    "regions": lambda columns, rows, cells: region_totals(columns, rows),
+    "ratios in a row": lambda columns, rows, cells: same_row_ratios(columns),
+    "shares in a column": lambda columns, rows, cells: column_shares(columns, rows),
+    "ratio rows": lambda columns, rows, cells: ratio_rows(columns, rows),
+    "component ratios": lambda columns, rows, cells: component_ratio_rows(columns, rows),
+    "named ratios": lambda columns, rows, cells: named_ratio_rows(columns, rows),
+    "changes by year": lambda columns, rows, cells: year_row_changes(columns, rows),
+}
+
+
+def generator(name: str) -> Callable:
+    """Decorator that adds a generator, or puts another one in the place of the one of that name."""
+
+    def add(f: Callable[[DataFrame, DataFrame, DataFrame], DataFrame]) -> Callable:
+        GENERATORS[name] = f
+        return f
+
+    return add
+
+
+def candidates(cells: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """What the generators (all, or those named) make of the grids, one spec of each meaning."""
     columns, rows = map(cut, structure(cells))
-    parts = [header_formulas(columns), total_columns(columns), column_combinations(columns, cells), total_rows(columns, rows), implicit_subtotals(columns, rows, cells), wrapped_totals(columns, rows, cells), region_totals(columns, rows), same_row_ratios(columns), column_shares(columns, rows), ratio_rows(columns, rows), component_ratio_rows(columns, rows), named_ratio_rows(columns, rows), year_row_changes(columns, rows)]
-    return dedupe(reduce(DataFrame.unionAll, parts))
+    return dedupe(reduce(DataFrame.unionAll, (f(columns, rows, cells) for name, f in GENERATORS.items() if only is None or name in only)))
+
+
+#: Name -> provider of specs for (cells, tables). A model's provider returns rows of edges.SPEC, which are scored as all others are.
+PROVIDERS: dict[str, Callable[[DataFrame, DataFrame], DataFrame]] = {"heuristic": lambda cells, tables: inferred(cells, tables)}
+
+
+def drafts(cells: DataFrame, tables: DataFrame, provider: str | Callable[[DataFrame, DataFrame], DataFrame] = "heuristic") -> DataFrame:
+    """Specs with `source`: the provider's that the data bear out; a table for which it has none gets the heuristic's, as fallback."""
+    if provider == "heuristic":
+        return PROVIDERS["heuristic"](cells, tables).withColumn("source", F.lit("heuristic"))
+    own = provider(cells, tables) if callable(provider) else PROVIDERS[provider](cells, tables)
+    own = cut(inferred(cells, specs=own.where(edges.coordinates_exist())))
+    rest = PROVIDERS["heuristic"](cells, tables).join(own.select("table_id").distinct(), "table_id", "left_anti")
+    return own.withColumn("source", F.lit("model")).unionByName(rest.withColumn("source", F.lit("fallback")))
 
 
 def dedupe(specs: DataFrame) -> DataFrame:

@@ -231,3 +231,15 @@ def rebuilt(tables: DataFrame, changes: DataFrame) -> DataFrame:
     up = F.transform(F.sequence(F.lit(1), F.size(F.split("base", "-"))), lambda n: F.array_join(F.slice(F.split("base", "-"), F.lit(1), n), "-"))
     keys = t.select("table_id", F.explode(F.concat(F.array(F.struct(F.lit("report").alias("scope"), F.col("report").alias("value")), F.struct(F.lit("table").alias("scope"), F.col("own").alias("value"))), F.transform(up, lambda v: F.struct(F.lit("code").alias("scope"), v.alias("value"))))).alias("k")).select("table_id", "k.*")
     return keys.join(c, ["scope", "value"]).groupBy("table_id").agg(F.array_sort(F.collect_set("what")).alias("scopes"))
+
+
+def refreshed(seed: DataFrame, official: DataFrame, harvested: DataFrame) -> DataFrame:
+    """source, target, status, category, n: one glossary from three lists (source, target; harvested also n, how often it stands in the yearbook).
+
+    Of equal pairs (by their keys) the best status counts: official before seed before what was only found; n adds up.
+    """
+    parts = [df.select("source", "target", F.lit(status).alias("status"), (F.col("n") if "n" in df.columns else F.lit(1)).cast("long").alias("n")) for df, status in ((official, "official_verified"), (seed, "approved"), (harvested, "reference"))]
+    rank = F.when(F.col("status") == "official_verified", 0).when(F.col("status") == "approved", 1).otherwise(2)
+    x = parts[0].unionByName(parts[1]).unionByName(parts[2]).where("source is not null and target is not null")
+    g = x.groupBy(L.source_key(F.col("source")).alias("__s"), L.target_key(F.col("target")).alias("__t")).agg(F.min(F.struct(rank.alias("r"), "source", "target", "status")).alias("b"), F.sum("n").alias("n"))
+    return g.select("b.source", "b.target", "b.status", L.category(F.col("b.source"), F.col("b.target")).alias("category"), "n")

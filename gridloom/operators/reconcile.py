@@ -121,3 +121,18 @@ def expected_phones(officers: DataFrame, users: DataFrame) -> DataFrame:
     r = resolve_users(officers.select(F.col("key").alias("id"), "name", "department"), users).where("user_row is not null")
     p = r.join(users.where("phone <> ''").select(F.col("row_number").alias("user_row"), "phone"), "user_row")
     return p.groupBy(F.col("id").alias("key")).agg(F.array_sort(F.collect_set("phone")).alias("phones"))
+
+
+def audit(tables: DataFrame, owners: DataFrame, matches: DataFrame, sure: float = 0.7) -> DataFrame:
+    """left_id, right_id, method, department, officers, phones, decision: every table (left_id, department, officers, phones) against the entry that match_titles gave it.
+
+    department: equal, different or missing; officers as compare_sets; phones: kept or not. decision: no entry, to check
+    (a match below `sure`), equal or differs.
+    """
+    o = owners.select("right_id", F.col("department").alias("want"), F.col("officers").alias("want_officers"), F.col("phones").alias("want_phones"))
+    j = tables.join(matches.select("left_id", "right_id", "method", "score"), "left_id", "left").join(o, "right_id", "left")
+    named = F.coalesce(F.col("want") != "", F.lit(False)) & F.coalesce(F.col("department") != "", F.lit(False))
+    department = F.when(~named, "missing").when(X.same_department(F.col("want"), F.col("department")), "equal").otherwise("different")
+    j = j.select("left_id", "right_id", "method", "score", department.alias("department"), compare_sets(F.col("want_officers"), F.col("officers")).alias("officers"), F.coalesce(covered(F.col("want_phones"), F.col("phones")), F.lit(True)).alias("phones"))
+    same = (F.col("department") != "different") & (F.col("officers") != "different") & F.col("phones")
+    return j.withColumn("decision", F.when(F.col("right_id").isNull(), "no entry").when(F.col("score") < sure, "to check").when(same, "equal").otherwise("differs")).drop("score")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +13,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import numeric as N
 from gridloom.functions import text as X
 from gridloom.operators import edges, infer
+from gridloom.operators.language import spelling
 from gridloom.operators.relational import first_n
 from gridloom.session import cut
 
@@ -60,3 +65,44 @@ def change_columns(cells: DataFrame) -> DataFrame:
     j = j.withColumn("expected_value", F.when(F.col("is_ratio"), near).otherwise(d)).where("expected_value is not null")
     bad = j.where(F.abs(F.col("current_value") - F.col("expected_value")) > F.when(F.col("is_ratio"), 0.15).otherwise(1.0))
     return bad.select("table_id", F.col("row").alias("row_index"), "col_index", "current_value", "expected_value")
+
+
+@dataclass(frozen=True)
+class Rule:
+    """A rule that needs no spec: `find` takes cells and tables and returns table_id, row_index, col_index, current_value, expected_value (texts)."""
+
+    name: str
+    severity: str
+    find: Callable[[DataFrame, DataFrame], DataFrame]
+
+
+def _texts(df: DataFrame) -> DataFrame:
+    return df.select("table_id", "row_index", "col_index", F.col("current_value").cast("string").alias("current_value"), F.col("expected_value").cast("string").alias("expected_value"))
+
+
+def missing_metadata(cells: DataFrame, tables: DataFrame) -> DataFrame:
+    """Tables without a unit, base date or source, as findings without a place."""
+    none = F.lit(None).cast("int")
+    return tables.select(F.col("id").alias("table_id"), none.alias("row_index"), none.alias("col_index"), F.lit("").alias("current_value"), F.explode(F.array_compact(F.array(*[F.when(F.trim(F.coalesce(c, F.lit(""))) == "", c) for c in ("unit", "base_date", "source")]))).alias("expected_value"))
+
+
+#: The rules that are run, by name; an application adds its own with add().
+RULES: dict[str, Rule] = {}
+
+
+def add(rule: Rule) -> Rule:
+    RULES[rule.name] = rule
+    return rule
+
+
+add(Rule("metadata", "warning", missing_metadata))
+add(Rule("structure", "critical", lambda cells, tables: _texts(from_structure(cells))))
+add(Rule("subtotals", "critical", lambda cells, tables: _texts(subtotals(cells))))
+add(Rule("changes", "warning", lambda cells, tables: _texts(change_columns(cells))))
+add(Rule("spelling", "warning", lambda cells, tables: spelling(cells).select("table_id", "row_index", "col_index", F.col("found").alias("current_value"), F.col("expected").alias("expected_value"))))
+
+
+def run(cells: DataFrame, tables: DataFrame, only: tuple[str, ...] | None = None) -> DataFrame:
+    """rule, severity, table_id, row_index, col_index, current_value, expected_value of all rules, or those named."""
+    found = [r.find(cells, tables).select(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), "table_id", "row_index", "col_index", "current_value", "expected_value") for r in RULES.values() if only is None or r.name in only]
+    return reduce(DataFrame.unionByName, found)

@@ -244,3 +244,41 @@ def agg_column_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many texts each column's cells are judged by."""
     c = cells_of(spark, sf_dir).where("not is_header and trim(coalesce(text_value, '')) <> ''")
     return c.groupBy("table_id", "col_index").agg(F.count("*").alias("n"), F.count_distinct("text_value").alias("kinds"))
+
+
+@query("rules_run", "SELECT 'metadata' AS rule, id AS table_id, c AS expected_value FROM (SELECT id, unnest(list_filter([CASE WHEN trim(coalesce(unit, '')) = '' THEN 'unit' END, CASE WHEN trim(coalesce(base_date, '')) = '' THEN 'base_date' END, CASE WHEN trim(coalesce(source, '')) = '' THEN 'source' END], lambda x: x IS NOT NULL)) AS c FROM stat_tables)")
+def rules_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registered rules of metadata and spelling over all tables (no word of the yearbook is a known misspelling)."""
+    from gridloom.operators import rules
+
+    return rules.run(cells_of(spark, sf_dir), table(spark, sf_dir, "stat_tables"), ("metadata", "spelling")).select("rule", "table_id", "expected_value")
+
+
+@query("language_refreshed", """WITH g AS (SELECT DISTINCT source, target, entry_id % 3 AS k FROM official_translation_glossary WHERE regexp_full_match(source, '[가-힣]+') AND regexp_full_match(target, '[A-Z][a-z]+( [a-z]+)*') QUALIFY count(*) OVER (PARTITION BY lower(source), lower(target)) = 1)
+SELECT source, target, CASE k WHEN 0 THEN 'official_verified' WHEN 1 THEN 'approved' ELSE 'reference' END AS status, CASE k WHEN 2 THEN 5 ELSE 6 END AS n FROM g""")
+def language_refreshed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary parted into three lists, all of which was also found five times in the yearbook, written in capitals."""
+    from pyspark.sql import Window as W
+
+    g = table(spark, sf_dir, GLOSSARY).where(F.col("source").rlike("^[가-힣]+$") & F.col("target").rlike("^[A-Z][a-z]+( [a-z]+)*$")).select("source", "target", (F.col("entry_id") % 3).alias("k")).distinct()
+    g = g.withColumn("of", F.count("*").over(W.partitionBy("source", "target"))).where("of = 1")
+    found = g.select("source", F.when(F.col("k") == 2, F.col("target")).otherwise(F.upper("target")).alias("target"), F.lit(5).alias("n"))
+    return language.refreshed(g.where("k = 1"), g.where("k = 0"), found).select("source", "target", "status", "n")
+
+
+@query("reconcile_audit", """SELECT logical_id AS left_id, CASE logical_id % 4 WHEN 0 THEN 'no entry' WHEN 1 THEN 'to check' WHEN 2 THEN CASE WHEN coalesce(len(officers), 0) = 0 THEN 'equal' ELSE 'differs' END ELSE 'equal' END AS decision FROM logical_tables""")
+def reconcile_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables against entries of which one in four isn't there, one is matched badly, and one names other officers."""
+    l = table(spark, sf_dir, "logical_tables").select(F.col("logical_id").alias("left_id"), "department", "officers", "phones")  # noqa: E741
+    k = F.col("left_id") % 4
+    o = l.select(F.col("left_id").alias("right_id"), "department", F.when(k == 2, F.array(F.lit("없는이"))).otherwise(F.col("officers")).alias("officers"), "phones")
+    m = l.where("left_id % 4 <> 0").select("left_id", F.col("left_id").alias("right_id"), F.lit("same title").alias("method"), F.when(k == 1, 0.65).otherwise(1.0).alias("score"))
+    return reconcile.audit(l, o, m).select("left_id", "decision")
+
+
+@query("flt_coordinates", "SELECT t AS table_id FROM (SELECT DISTINCT n_regionkey + 1 AS t FROM nation) WHERE t % 2 = 1")
+def flt_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specs of which every second one names a row before the first, deep inside."""
+    t = order_grid(spark, sf_dir).select("table_id").distinct()
+    specs = _specs(spark, "cell_sum", t, target_row="1", operand_cells="array(named_struct('row', case when table_id % 2 = 0 then -1 else 2 end, 'column', 1, 'op', '+'))")
+    return specs.where(edges.coordinates_exist()).select("table_id")

@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from gridloom.operators import infer
@@ -46,6 +47,28 @@ def test_what_literal_grids_are_made_of(spark):
     assert (3, 2, [1]) in quotient
 
 
+def test_drafts_of_a_model_and_registered_generators(spark):
+    """A model's spec stays only if the data bear it out and its places exist; a table it has none for falls back; a generator can be added."""
+    m = [["구분", "계", "갑", "을"], ["가", 12, 5, 7], ["나", 10, 1, 9], ["다", 30, 20, 10]]
+    cells = spark.createDataFrame([(t, i, j, str(v), None, i == 0) for t in (1, 2) for i, r in enumerate(m) for j, v in enumerate(r)], CELL)
+    tables = spark.createDataFrame([(1, "명"), (2, "명")], "id long, unit string")
+
+    def model(cells, tables):
+        t = tables.where("id = 1").selectExpr("id as table_id")
+        good = infer.spec_rows(t, "row_sum", "sum", target_column=1, operand_columns=F.lit([2, 3]))
+        bad = infer.spec_rows(t, "row_sum", "sum", target_column=2, operand_columns=F.lit([1, 3]))
+        nowhere = infer.spec_rows(t, "row_sum", "sum", target_column=3, operand_columns=F.lit([-1, 2]))
+        return good.unionAll(bad).unionAll(nowhere)
+
+    got = {(r.table_id, r.source, r.target_column) for r in infer.drafts(cells, tables, model).where("type = 'row_sum'").collect()}
+    assert got == {(1, "model", 1), (2, "fallback", 1)}
+    try:
+        infer.generator("mine")(lambda columns, rows, cells: infer.spec_rows(columns.select("table_id").distinct(), "row_sum", "sum", target_column=3, operand_columns=F.lit([2])))
+        assert {r.target_column for r in infer.candidates(cells, ("mine",)).collect()} == {3}
+    finally:
+        del infer.GENERATORS["mine"]
+
+
 def test_header_paths_of_totals(spark):
     """Nested, replaced and sibling totals of three header rows."""
     m = [["구분", "총계", "총계", "일반직", "일반직", "일반직", "특정직", "특정직"], ["구분", "계", "정원", "계", "임기제", "고위", "계", "경찰"], ["가", 30, 9, 10, 4, 6, 20, 20], ["나", 33, 9, 11, 5, 6, 22, 22], ["다", 36, 8, 12, 5, 7, 24, 24]]
