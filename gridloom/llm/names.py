@@ -239,17 +239,24 @@ def spellings(df: DataFrame) -> DataFrame:
 
 
 def banded(df: DataFrame, all_forms: bool) -> DataFrame:
-    """block, spelling, band, h of the distinct (block, spelling) of df; of every form of the spelling, if told so."""
+    """block, spelling, band, h of the distinct (block, spelling) of df; of every form of the spelling, if told so.
+
+    Whole names, in which a letter may be wrong, are in all bands. The other forms count only as they are, turned or as
+    they sound, so their q-grams equal the mention's and one band finds them for certain.
+    """
     b, r = bands()
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             own = [tuple(t.split(APART)) for t in x.column(1).to_pylist()]
-            each = [[f for _, f in forms(p)] if all_forms else [p] for p in own]
-            row = np.repeat(np.arange(len(own)), [len(e) for e in each])
-            sig = signatures([f for e in each for f in e], b, r)
-            kept = x.take(pa.array(np.repeat(row, b)))
-            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(np.tile(np.arange(b, dtype=np.int32), len(row))), pa.array(sig.ravel())], names=["block", "spelling", "band", "h"])
+            each = [[(f, b if w == 1 else 1) for w, f in forms(p)] if all_forms else [(p, b)] for p in own]
+            use = np.array([n for e in each for _, n in e], np.int64)
+            sig = signatures([f for e in each for f, _ in e], b, r)
+            row = np.repeat(np.repeat(np.arange(len(own)), [len(e) for e in each]), use)
+            form = np.repeat(np.arange(len(use)), use)
+            band = np.arange(len(form)) - np.repeat(np.cumsum(use) - use, use)
+            kept = x.take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(band.astype(np.int32)), pa.array(sig[form, band])], names=["block", "spelling", "band", "h"])
 
     few = df.select("block", "spelling").distinct().repartition(parallel(df.sparkSession), "spelling")
     return few.mapInArrow(kernel, "block long, spelling string, band int, h long").distinct()
