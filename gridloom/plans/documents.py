@@ -112,6 +112,29 @@ def src_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.parsed(_rows(spark, sf_dir).mapInArrow(kernel, "path string, file_hash string, content binary")).select("code", "section_title", "section_title_en")
 
 
+@query("src_marked", GRID + f"SELECT '1-1-' || t AS code, r AS row_index, c AS col_index, '검토 ' || r AS text FROM g WHERE c = 1")
+def src_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts marked blue: one in the second column of every row; marked numbers, contacts and addresses beside them are passed over."""
+
+    def document(rows: list[list[str]], code: str) -> bytes:
+        run = lambda t, k: f'<run charPrIDRef="{k}"><t>{t}</t></run>'
+        cell = lambda i, j, v: f'<tc><cellAddr rowAddr="{i}" colAddr="{j}"/><p>{run(v, 0)}{run(f"검토 {i}", 1) if i and j == 1 else run("1,234", 1) if i and j == 2 else ""}</p></tc>'
+        table_ = "<tbl>" + "".join("<tr>" + "".join(cell(i, j, v) for j, v in enumerate(r)) + "</tr>" for i, r in enumerate(rows)) + "</tbl>"
+        extra = "".join(f"<p>{run(t, 1)}</p>" for t in ("통계과 주무관 김일표 (044-205-2315)", "www.stat.example", "단위: 명"))
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("Contents/header.xml", '<head><charPr id="0" textColor="#000000"/><charPr id="1" textColor="#0000FF"/></head>')
+            z.writestr("Contents/section0.xml", f"<sec><p>{run(code + ' 주문 현황', 0)}</p><p><run>{table_}</run></p>{extra}</sec>")
+        return out.getvalue()
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            content = [document(r, f"1-1-{i}") for i, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([f"/mem/{k}.hwpx" for k in range(len(content))]), pa.array(content, pa.binary())], names=["path", "content"])
+
+    return ingest.blue(_rows(spark, sf_dir).mapInArrow(kernel, "path string, content binary")).select("code", "row_index", "col_index", "text")
+
+
 @query("src_owners", "SELECT year, row_number, title, department, department_raw FROM (SELECT year, CAST(row_number() OVER (PARTITION BY year ORDER BY owner_id) + 2 AS INT) AS row_number, title, coalesce(department, '') AS department, regexp_replace(trim(regexp_replace(coalesce(officer_raw, ''), '[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+', ' ', 'g')), '^ | $', '', 'g') AS department_raw FROM reference_owners) WHERE title <> '' AND (department <> '' OR department_raw <> '')".replace("\\\\", "\\"))
 def src_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lists of owners, a workbook a year, written and read again."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 from xml.etree import ElementTree as ET
 
@@ -203,17 +204,48 @@ def parse_hwpx(data: bytes, name: str = "", number: bool = True) -> list[Parsed]
     return numbered(out) if number else out
 
 
-def blue_texts(data: bytes) -> list[tuple[str, str]]:
-    """(table code, text) of every run in pure blue, in order: what reviewers marked."""
+#: Marked texts that nobody need review: numbers, addresses, contacts, metadata lines, and what is too long for one text.
+PASSED_OVER = re.compile(r"[\d,.%\s()-]+|.*://.*|.*\bwww\..*|.*0\d{1,2}[-)]?\s*\d{3,4}-\d{4}.*|(?:단위|기준일|기준|출처|자료|unit|source)\s*[:：].*", re.I | re.DOTALL)
+LONGEST = 1400
+
+
+@dataclass(frozen=True)
+class Marked:
+    """A text that reviewers marked: where it stands, and what stands around it. row and col are -1 outside of tables."""
+
+    code: str
+    text: str
+    row: int = -1
+    col: int = -1
+    cell_text: str = ""
+    row_text: str = ""
+
+
+def marked_texts(data: bytes, colour: str = "#0000ff") -> list[Marked]:
+    """Every paragraph's text in the given colour, in order, with the cell and row that hold it."""
     z = zipfile.ZipFile(io.BytesIO(data))
-    blue = _char_ids(z, lambda x: (x.get("textColor") or "").lower() == "#0000ff")
+    ids = _char_ids(z, lambda x: (x.get("textColor") or "").lower() == colour)
     out, code = [], ""
-    for section in sorted(n for n in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", n)):
-        for p in _children(ET.fromstring(z.read(section)), "p"):
+    for section in sorted((n for n in z.namelist() if re.fullmatch(r"Contents/section\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0])):
+        root = ET.fromstring(z.read(section))
+        around: dict[int, tuple[int, int, str, str]] = {}
+        for tr in _children(root, "tr"):
+            cells = [tc for tc in tr if _local(tc.tag) == "tc"]
+            line = " | ".join(_text(tc) for tc in cells)
+            for tc in cells:
+                addr = next((x for x in tc if _local(x.tag) == "cellAddr"), None)
+                at = (int(addr.get("rowAddr") or 0), int(addr.get("colAddr") or 0)) if addr is not None else (-1, -1)
+                around |= {id(p): (*at, _text(tc), line) for p in _children(tc, "p")}  # an inner table's own cells come later
+        for p in _children(root, "p"):
             if m := CODE.search(_text(p)):
                 code = squeeze(m[0])
-            runs = [r for r in p if _local(r.tag) == "run"]
-            text = squeeze("".join("".join(r.itertext()) for r in runs if r.get("charPrIDRef") in blue and not _children(r, "tbl")))
-            if text and not re.fullmatch(r"[\d,.%\s-]+", text) and len(text) <= 1400 and "://" not in text:
-                out.append((code, text))
+            runs = [r for r in p if _local(r.tag) == "run" and r.get("charPrIDRef") in ids and not _children(r, "tbl")]
+            text = squeeze("".join("".join(r.itertext()) for r in runs))
+            if text and len(text) <= LONGEST and not PASSED_OVER.fullmatch(text):
+                out.append(Marked(code, text, *around.get(id(p), (-1, -1, "", ""))))
     return out
+
+
+def blue_texts(data: bytes) -> list[tuple[str, str]]:
+    """(table code, text) of what reviewers marked in pure blue, in order."""
+    return [(m.code, m.text) for m in marked_texts(data)]

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from gridloom.functions import numeric as N
 from gridloom.operators.relational import insert_ignore, latest
-from gridloom.sources.archive import blue_texts, parse_hwpx, parse_xlsx, sheets
+from gridloom.sources.archive import marked_texts, parse_hwpx, parse_xlsx, sheets
 from gridloom.sources.markup import numbered, parse_markup
 from gridloom.sources.shape import owner_rows, tidied
 
@@ -116,15 +116,20 @@ def stored_profiles(spark: SparkSession, path: str, key: list[str]) -> DataFrame
 
 
 def blue(files: DataFrame) -> DataFrame:
-    """path, pos, code, text of the runs marked blue in word-processor documents."""
+    """path, pos, code, text, row_index, col_index (null outside of tables), cell_text, row_text of the texts marked blue in word-processor documents."""
+    kinds = pa.schema([("path", pa.string()), ("pos", pa.int32()), ("code", pa.string()), ("text", pa.string()), ("row_index", pa.int32()), ("col_index", pa.int32()), ("cell_text", pa.string()), ("row_text", pa.string())])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(p, i, c, t) for p, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for i, (c, t) in enumerate(blue_texts(d))]
-            cols = list(zip(*rows)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.string())], names=["path", "pos", "code", "text"])
+            rows = []
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for i, m in enumerate(marked_texts(data)):
+                    inside = m.row >= 0
+                    rows.append({"path": path, "pos": i, "code": m.code, "text": m.text, "row_index": m.row if inside else None, "col_index": m.col if inside else None, "cell_text": m.cell_text, "row_text": m.row_text})
+            yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    return files.where(F.lower("path").endswith(".hwpx")).select("path", "content").mapInArrow(kernel, "path string, pos int, code string, text string")
+    out = "path string, pos int, code string, text string, row_index int, col_index int, cell_text string, row_text string"
+    return files.where(F.lower("path").endswith(".hwpx")).select("path", "content").mapInArrow(kernel, out)
 
 
 def land(spark: SparkSession, files: DataFrame, store: str, batch: str) -> None:
