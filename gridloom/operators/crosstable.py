@@ -69,24 +69,26 @@ def rebuilt_spec(rule_id: Column) -> Column:
     return F.when(rule_id.rlike(known), F.map_concat(F.create_map(F.lit("type"), F.regexp_extract(rule_id, r"^cross\.([a-z_]+)", 1)), parts))
 
 
-def split_part_totals(cells: DataFrame, parts: DataFrame, least_checks: int = 5, least_passed: float = 0.6) -> DataFrame:
+def split_part_totals(cells: DataFrame, parts: DataFrame, least_checks: int = 5, least_passed: float = 0.6, by_metric: bool = False) -> DataFrame:
     """Totals in part 1 against the details of all parts (parts: table_id, base_code, part), rows joined by label.
 
     A total column's first header text is 계, 합계.., total..; details are the other columns. Rows that a part lacks are
-    skipped. A table's checks count only if there are enough of them and enough passed.
+    skipped. A table's checks count only if there are enough of them and enough passed. Told so, a total is checked
+    against the details of its own metric alone: the last header text of columns with more than one.
     """
     first = F.lower(F.regexp_replace(F.coalesce("text_value", F.lit("")), r"(?U)\s+", ""))
-    heads = cells.where("is_header and col_index > 0").groupBy("table_id", "col_index").agg(F.min_by(first, F.when(first != "", F.col("row_index"))).alias("head"))
+    texts = F.when(first != "", F.col("row_index"))
+    heads = cells.where("is_header and col_index > 0").groupBy("table_id", "col_index").agg(F.min_by(first, texts).alias("head"), F.when(F.lit(by_metric) & (F.count(texts) > 1), F.max_by(first, texts)).otherwise("").alias("metric"))
     heads = heads.withColumn("is_total", F.coalesce(F.col("head").startswith("합계") | (F.col("head") == "계") | F.col("head").contains("total"), F.lit(False)))
     labels = row_labels(cells).join(parts, "table_id")
     n = parts.groupBy("base_code").agg(F.count("*").alias("n_parts"))
     everywhere = labels.groupBy("base_code", "label").agg(F.count_distinct("table_id").alias("k")).join(n, "base_code").where("k = n_parts and n_parts > 1").select("base_code", "label")
     rows = labels.groupBy("base_code", "part", "table_id", "label").agg(F.max("row_index").alias("row_index")).join(everywhere, ["base_code", "label"])
     value = N.cross_value(F.col("numeric_value"), F.col("text_value"), True)
-    v = cells.where("not is_header and col_index > 0").select("table_id", "row_index", "col_index", value.alias("v")).join(heads.select("table_id", "col_index", "is_total"), ["table_id", "col_index"]).join(rows, ["table_id", "row_index"])
-    details = v.where("not is_total").groupBy("base_code", "label").agg(F.sum("v").alias("expected_value"), F.count("*").alias("n"), F.count("v").alias("n_v")).where("n >= 2 and n = n_v")
-    totals = v.where("is_total and part = 1 and v is not null").select("base_code", "label", "table_id", "row_index", "col_index", F.col("v").alias("current_value"))
-    out = totals.join(details, ["base_code", "label"]).withColumn("passed", F.abs(F.col("current_value") - F.col("expected_value")) <= 1.0)
+    v = cells.where("not is_header and col_index > 0").select("table_id", "row_index", "col_index", value.alias("v")).join(heads.select("table_id", "col_index", "is_total", "metric"), ["table_id", "col_index"]).join(rows, ["table_id", "row_index"])
+    details = v.where("not is_total").groupBy("base_code", "label", "metric").agg(F.sum("v").alias("expected_value"), F.count("*").alias("n"), F.count("v").alias("n_v")).where("n >= 2 and n = n_v")
+    totals = v.where("is_total and part = 1 and v is not null").select("base_code", "label", "metric", "table_id", "row_index", "col_index", F.col("v").alias("current_value"))
+    out = totals.join(details, ["base_code", "label", "metric"]).withColumn("passed", F.abs(F.col("current_value") - F.col("expected_value")) <= 1.0)
     w = W.partitionBy("base_code")
     out = out.withColumns({"checks": F.count("*").over(w), "good": F.avg(F.col("passed").cast("double")).over(w)})
     return out.where((F.col("checks") >= least_checks) & (F.col("good") >= least_passed)).drop("checks", "good", "n", "n_v")

@@ -255,3 +255,35 @@ def xtb_rebuilt_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rule = F.concat(F.when(F.col("id") % 4 == 3, "other.").otherwise("cross."), F.lit("split_part_row_total:role=target:target="), F.col("id").cast("string"), F.lit(":rows=2,3"))
     m = crosstable.rebuilt_spec(rule)
     return table(spark, sf_dir, "stat_tables").select("id", m["type"].alias("type"), m["target"].alias("target"), m["rows"].alias("rows"))
+
+
+PARTS = GRIDS + ", n AS (SELECT table_id, count(*) AS n, avg(CASE WHEN bad THEN 0.0 ELSE 1.0 END) AS good FROM rows JOIN shape USING (table_id) WHERE w > 3 GROUP BY 1 HAVING count(*) >= 5 AND avg(CASE WHEN bad THEN 0.0 ELSE 1.0 END) >= 0.6)"
+
+
+def _parts(spark: SparkSession, sf_dir: str, metrics: int) -> DataFrame:
+    """Each grid in two parts, its total and first column in one, the rest in the other; of so many metrics, the second's values twice as large."""
+    cells, shape = planted(spark, sf_dir)
+    c = cells.join(shape.where("width > 3"), "table_id").where("not is_header and row_index < last and col_index > 0").select("table_id", "row_index", "col_index", "width", "text_value", "numeric_value")
+    c = c.withColumn("metric", F.explode(F.sequence(F.lit(1), F.lit(metrics)))).withColumn("numeric_value", F.col("numeric_value") * F.col("metric"))
+    second = (F.col("col_index") > 1) & (F.col("col_index") < F.col("width"))
+    c = c.withColumn("of", F.when(second, F.col("table_id") + 10_000_000).otherwise(F.col("table_id"))).withColumn("col", F.col("col_index") * metrics + F.col("metric") - metrics)
+    names = F.when(F.col("col_index") == F.col("width"), "합계 Total").otherwise(F.concat(F.lit("항목"), F.col("col_index").cast("string")))
+    rows = c.select(F.col("of").alias("table_id"), (F.col("row_index") + 2).alias("row_index"), F.col("col").alias("col_index"), "text_value", "numeric_value", F.lit(False).alias("is_header"))
+    head = c.select("of", "col", names.alias("name"), "metric").distinct()
+    levels = [F.struct(F.lit(0).alias("r"), F.col("name").alias("t"))] + ([F.struct(F.lit(1).alias("r"), F.concat(F.lit("지표"), F.col("metric").cast("string")).alias("t"))] if metrics > 1 else [])
+    heads = head.select("of", "col", F.explode(F.array(*levels)).alias("h")).select(F.col("of").alias("table_id"), F.col("h.r").alias("row_index"), F.col("col").alias("col_index"), F.col("h.t").alias("text_value"), F.lit(None).cast("double").alias("numeric_value"), F.lit(True).alias("is_header"))
+    labels = rows.select("table_id", "row_index").distinct().select("table_id", "row_index", F.lit(0).alias("col_index"), F.concat(F.lit("행"), F.col("row_index").cast("string")).alias("text_value"), F.lit(None).cast("double").alias("numeric_value"), F.lit(False).alias("is_header"))
+    every = cut(rows.unionAll(heads).unionAll(labels))
+    parts = every.select("table_id").distinct().select("table_id", F.pmod("table_id", F.lit(10_000_000)).cast("string").alias("base_code"), F.when(F.col("table_id") > 10_000_000, 2).otherwise(1).alias("part"))
+    return crosstable.split_part_totals(every, parts, by_metric=metrics > 1)
+
+
+@query("xtb_planted_parts", PARTS + " SELECT r.table_id, r.r AS row_index, NOT bad AS passed FROM rows r JOIN n USING (table_id)")
+def xtb_planted_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parts(spark, sf_dir, 1).select("table_id", (F.col("row_index") - 2).alias("row_index"), "passed")
+
+
+@query("xtb_planted_metrics", PARTS + " SELECT r.table_id, r.r AS row_index, k AS metric, NOT bad AS passed FROM rows r JOIN n USING (table_id), (VALUES (1), (2)) v(k)")
+def xtb_planted_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two metrics a column, each checked for itself."""
+    return _parts(spark, sf_dir, 2).select("table_id", (F.col("row_index") - 2).alias("row_index"), (F.pmod(F.col("col_index") + 1, F.lit(2)) + 1).alias("metric"), "passed")
