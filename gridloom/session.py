@@ -59,7 +59,7 @@ def parallel(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def buckets(df: DataFrame, each: int = 16 << 20) -> int:
+def buckets(df: DataFrame, each: int = 8 << 20) -> int:
     """Partitions for a shuffle of what df scans, by its files' size (known to the planner, no job): `each` bytes of files in one, never fewer than the cores."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     known = size if size < 1 << 62 else 0  # rows that come from no file have no size
