@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from gridloom.functions.grid import NUMBER, REMARK, plain_texts
 from gridloom.functions.plainpoints import plain_array
-from gridloom.session import cut, lookup, table
+from gridloom.session import cut, table
 
 # Common unit of each kind; (kind, factor to it) of the base units; scales written before a base.
 COMMON = {"persons": "명", "money": "원", "area": "m2", "length": "m", "weight": "kg", "cases": "건", "volume": "m3", "density": "kg/m3"}
@@ -51,6 +51,10 @@ KINDS = ("persons", "money", "area", "length", "weight", "cases")
 NEAR = 0.05
 #: result kind = product of two factor kinds.
 IDENTITIES = (("area", "length", "length"), ("weight", "density", "volume"))
+#: Columns (two numbers and a known unit, none longer than some 20 letters) that may be broadcast: some 30 MB.
+FEW = 250_000
+#: Cells of one column that may meet in one task of a join.
+HOT = 500_000
 
 
 @lru_cache(maxsize=1)
@@ -248,7 +252,8 @@ def solve(values: DataFrame, candidates: DataFrame, units: DataFrame, identities
 
 def _best(values: DataFrame, trios: DataFrame, only: DataFrame | None, near: float) -> DataFrame:
     """The least residual of each column (of `only`, if given) and its unit, from the combinations and the grids' values."""
-    used = trios.select("table_id", "a_col_index", "b_col_index", "c_col_index").distinct()
+    trios = trios.hint("merge")
+    used = trios.select("table_id", "a_col_index", "b_col_index", "c_col_index").distinct().hint("merge")
     v = values.join(used.select("table_id").distinct(), "table_id", "left_semi").where("value > 0").select("table_id", "row_index", "col_index", F.log("value").alias("v"))
     for p in "abc":
         used = used.join(v.withColumnsRenamed({"col_index": f"{p}_col_index", "v": f"{p}_v"}), ["table_id", f"{p}_col_index"] + (["row_index"] if p != "a" else []))
@@ -256,7 +261,7 @@ def _best(values: DataFrame, trios: DataFrame, only: DataFrame | None, near: flo
     scored = trios.join(means, ["table_id", "a_col_index", "b_col_index", "c_col_index"]).withColumn("residual", F.abs(F.col("m") + F.col("a_f") - F.col("b_f") - F.col("c_f")))
     each = scored.select("table_id", "residual", F.explode(F.array(*[F.struct(F.col(f"{p}_col_index").alias("col_index"), F.col(f"{p}_unit").alias("unit")) for p in "abc"])).alias("x")).select("table_id", "x.*", "residual")
     best = each.groupBy("table_id", "col_index", "unit").agg(F.min("residual").alias("residual"))
-    best = best if only is None else best.join(only, ["table_id", "col_index"], "left_semi")
+    best = best if only is None else best.join(only.hint("merge"), ["table_id", "col_index"], "left_semi")
     top = best.groupBy("table_id", "col_index").agg(F.array_sort(F.collect_list(F.struct("residual", "unit"))).alias("tops"))
     return top.select("table_id", "col_index", F.col("tops")[0]["unit"].alias("unit"), F.col("tops")[0]["residual"].alias("residual"), ((F.size("tops") == 1) | (F.try_element_at("tops", F.lit(2))["residual"] - F.col("tops")[0]["residual"] > near)).alias("is_unique"))
 
@@ -273,20 +278,46 @@ def _numbers(cells: DataFrame) -> DataFrame:
     return quantities(data)
 
 
-def solved_units(cells: DataFrame, own: DataFrame, listed: DataFrame, units: DataFrame, identities=IDENTITIES, stated: bool = False) -> DataFrame:
-    """solve() for the columns of grids, from the units their headers and tables state; values are read of tables in an identity alone."""
-    kept = listed if stated else cut(listed.where("size(units) > 1"))
-    columns = lookup(cells.where(~F.col("is_header")).select("table_id", "col_index", "row_index"), kept, ["table_id"], "row_index")
-    columns = columns.where("true" if stated else "units is not null").select("table_id", "col_index", "units").distinct()
-    columns = lookup(columns, own, ["table_id", "col_index"], "col_index")
-    candidates = cut(columns.select("table_id", "col_index", F.explode(F.coalesce(F.when(F.col("own").isNotNull(), F.array("own")), "units")).alias("unit")).distinct())
+def column_candidates(cells: DataFrame, own: DataFrame, listed: DataFrame) -> DataFrame:
+    """table_id, col_index, n (its cells), own, units of every column that holds data and whose header or table states a unit.
+
+    Here and below, joins of cut rows ask for a merge: their files are packed, and Spark, which goes by the files' size,
+    would broadcast what is many times larger in memory.
+    """
+    columns = cells.where(~F.col("is_header")).groupBy("table_id", "col_index").agg(F.count("*").alias("n"))
+    return cut(columns.join(listed.hint("merge"), "table_id", "left").join(own.hint("merge"), ["table_id", "col_index"], "left").where("own is not null or units is not null"))
+
+
+def of_columns(df: DataFrame, columns: DataFrame, how: str, few: int | None = None, hot: int | None = None) -> DataFrame:
+    """df (id, table_id, col_index, ...) joined to `columns` (table_id, col_index, n, ... of a bounded width; cut, so that counting it reads no data), without n.
+
+    Up to `few` columns are broadcast, whatever the size of the tables. More are joined by shuffle, where the cells of a
+    column of more than `hot` cells are spread by their ids; only such columns are repeated, and there is at most one for
+    every `hot` cells.
+    """
+    few, hot = FEW if few is None else few, HOT if hot is None else hot
+    on = ["table_id", "col_index"]
+    if columns.count() <= few:
+        return df.join(F.broadcast(columns.drop("n")), on, how)
+    salts = F.ceil(F.col("n") / hot).cast("int")
+    spread = columns.where(F.col("n") > hot).select(*on, salts.alias("__salts")).distinct()
+    df = df.join(F.broadcast(spread), on, "left").withColumn("__salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("__salts")).cast("int"), F.lit(0))).drop("__salts")
+    columns = columns.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.greatest(salts, F.lit(1)) - 1))).drop("n")
+    return df.join(columns.hint("merge"), [*on, "__salt"], how).drop("__salt")
+
+
+def solved_units(cells: DataFrame, columns: DataFrame, units: DataFrame, identities=IDENTITIES, stated: bool = False) -> DataFrame:
+    """solve() for the columns of grids, from the units their headers and tables state (column_candidates); values are read of columns in an identity alone."""
+    kept = columns if stated else columns.where("size(units) > 1")
+    candidates = cut(kept.select("table_id", "col_index", F.explode(F.coalesce(F.when(F.col("own").isNotNull(), F.array("own")), "units")).alias("unit")).distinct())
     many = None
     if not stated:  # a table with one candidate a column has nothing to choose
         many = cut(candidates.groupBy("table_id", "col_index").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
-        candidates = candidates.join(many.select("table_id").distinct(), "table_id", "left_semi")
+        candidates = candidates.join(many.select("table_id").distinct().hint("merge"), "table_id", "left_semi")
     trios = cut(combinations(candidates, units, identities))
-    tied = cut(trios.select("table_id").distinct().withColumn("tied", F.lit(True)))
-    values = _numbers(lookup(cells, tied, ["table_id"], "row_index").where("tied").drop("tied")).where("in_cell = ''")
+    tied = trios.select("table_id", F.explode(F.array(*[f"{p}_col_index" for p in "abc"])).alias("col_index")).distinct()
+    tied = cut(tied.hint("merge").join(columns.select("table_id", "col_index", "n").distinct(), ["table_id", "col_index"]))
+    values = of_columns(_numbers(cells), tied, "inner").where("in_cell = ''")
     value = F.coalesce("wide", F.col("digits").cast("string")).cast("double") / F.pow(F.lit(10.0), F.col("places"))
     return _best(values.select("table_id", "row_index", "col_index", F.when(F.col("negative"), -value).otherwise(value).alias("value")), trios, many, NEAR)
 
@@ -298,12 +329,14 @@ def converted(spark: SparkSession, tables: DataFrame, cells: DataFrame, identiti
     """
     cells, own, listed = _stated(tables, cells)
     units = unit_table(spark)
-    chosen = cut(solved_units(cells, own, listed, units, identities).where("is_unique").select("table_id", "col_index", F.col("unit").alias("solved")))
-    # What a column's numbers are in: the header's unit, the only one listed, or the one that the identities choose.
-    data = lookup(_numbers(cells), own, ["table_id", "col_index"], "row_index")
-    data = lookup(lookup(data, listed, ["table_id"], "row_index"), chosen, ["table_id", "col_index"], "row_index")
-    the = F.when(F.col("in_cell") != "", F.regexp_replace("in_cell", r"^\*", "")).otherwise(F.coalesce("own", F.when(F.size("units") == 1, F.col("units")[0]), "solved"))
-    data = data.withColumn("unit", the).join(F.broadcast(units), "unit")
+    columns = column_candidates(cells, own, listed)
+    chosen = cut(solved_units(cells, columns, units, identities).where("is_unique").select("table_id", "col_index", F.col("unit").alias("solved")))
+    # What a column's numbers are in: the header's unit, the only one listed, or the one that the identities choose. One
+    # that isn't known gives no row, so that it needn't be joined.
+    stated = columns.join(chosen.hint("merge"), ["table_id", "col_index"], "left").select("table_id", "col_index", "n", F.coalesce("own", F.when(F.size("units") == 1, F.col("units")[0]), "solved").alias("unit"))
+    stated = cut(stated.join(F.broadcast(units.select("unit")), "unit").select("table_id", "col_index", "n", F.col("unit").alias("stated")))
+    data = of_columns(_numbers(cells).drop("row_index"), stated, "left")
+    data = data.withColumn("unit", F.when(F.col("in_cell") != "", F.regexp_replace("in_cell", r"^\*", "")).otherwise(F.col("stated"))).join(F.broadcast(units), "unit")
     data = rounded(data, "common_value")
     common = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in COMMON.items()])
     return data.select(F.col("id").alias("cell_id"), "kind", "unit", common.alias("common_unit"), "common_value", ((F.col("num") == F.col("den")) & ~F.col("in_cell").startswith("*")).alias("factor_is_one"))
@@ -317,4 +350,4 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """table_id, col_index, unit, residual, is_unique of every column that an identity ties to others."""
     cells, own, listed = _stated(table(spark, sf_dir, "stat_tables"), table(spark, sf_dir, "stat_table_cells"))
-    return solved_units(cells, own, listed, unit_table(spark), stated=True).withColumn("residual", F.round("residual", 6))
+    return solved_units(cells, column_candidates(cells, own, listed), unit_table(spark), stated=True).withColumn("residual", F.round("residual", 6))
