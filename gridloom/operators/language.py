@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,8 @@ from gridloom.functions import labels as L
 from gridloom.functions import numeric as N
 from gridloom.functions import text as X
 from gridloom.operators.crosstable import base_code
-from gridloom.operators.relational import contains_terms, first_n, insert_ignore
+from gridloom.operators.relational import contains_terms, first_holding, first_n, insert_ignore
+from gridloom.session import cut, lookup
 
 # How much an entry's status counts (the first one most), and the ranks that may settle a pair.
 STATUS_ORDER = ("rejected", "quarantined", "approved", "official_verified", "llm_verified", "official_name_only", "llm_reviewed", "reference")
@@ -192,13 +194,19 @@ def placed(marked: DataFrame, tables: DataFrame, cells: DataFrame) -> DataFrame:
     if it names one, the first in reading order. What is left is looked for in the tables' titles, sources and notes.
     """
     key = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), X.WS, ""))
-    m = marked.select("mark_id", "code", key(F.col("text")).alias("k"), F.col("col_index").alias("want")).where("k <> ''")
-    t = tables.select(F.col("id").alias("table_id"), "code", base_code(F.col("code")).alias("base"), key(F.concat_ws("|", "title", "title_en", "source", "note")).alias("fields"))
-    near = m.join(t.withColumnRenamed("code", "own"), (F.col("code") == F.col("own")) | (F.col("code") == F.col("base")))
-    c = cells.select("table_id", "row_index", "col_index", key(F.col("text_value")).alias("cell"))
-    hit = near.join(c, "table_id").where((F.col("want").isNull() | (F.col("want") == F.col("col_index"))) & F.col("cell").contains(F.col("k")))
-    best = hit.groupBy("mark_id").agg(F.min(F.struct((F.col("cell") != F.col("k")).cast("int").alias("n"), "table_id", "row_index", "col_index")).alias("b")).select("mark_id", F.lit("cell").alias("place"), "b.table_id", "b.row_index", "b.col_index")
-    rest = near.join(best, "mark_id", "left_anti").where(F.col("fields").contains(F.col("k"))).groupBy("mark_id").agg(F.min("table_id").alias("table_id")).withColumn("place", F.lit("field"))
+    m = cut(marked.select("mark_id", "code", key(F.col("text")).alias("k"), F.col("col_index").cast("int").alias("want")).where("k <> ''"))
+    names = F.explode(F.array_distinct(F.array("code", base_code(F.col("code"))))).alias("code")
+    t = cut(tables.select(F.col("id").alias("table_id"), names, key(F.concat_ws("|", "title", "title_en", "source", "note")).alias("fields")).where("code is not null"))
+    c = lookup(cells.select("table_id", "row_index", "col_index", key(F.col("text_value")).alias("t")).where("t <> ''"), t.select("table_id", "code"), ["table_id"], "t")
+    c = c.where("code is not null").select("code", F.col("col_index").alias("want"), "t", F.struct("table_id", "row_index", "col_index").alias("at"))
+    ways = [(m.where("want is not null"), ["code", "want"]), (m.where("want is null"), ["code"])]
+    ways = [w for w in ways if not w[0].isEmpty()] or ways[:1]
+    hits = [own.join(first_holding(own, c, on), [*on, "k"]).select("mark_id", F.struct("n", "at").alias("b")) for own, on in ways]
+    best = cut(reduce(DataFrame.unionAll, hits).groupBy("mark_id").agg(F.min("b").alias("b")).select("mark_id", F.lit("cell").alias("place"), "b.at.*"))
+    rest = m.join(best, "mark_id", "left_anti")
+    fields = t.groupBy("code", "fields").agg(F.min("table_id").alias("table_id"))
+    held = rest.select("code", "k").distinct().join(fields, "code").where(F.col("fields").contains(F.col("k"))).groupBy("code", "k").agg(F.min("table_id").alias("table_id"))
+    rest = rest.join(held, ["code", "k"]).groupBy("mark_id").agg(F.min("table_id").alias("table_id")).withColumn("place", F.lit("field"))
     both = best.unionByName(rest, allowMissingColumns=True)
     return both.unionByName(marked.select("mark_id").join(both, "mark_id", "left_anti").withColumn("place", F.lit("none")), allowMissingColumns=True)
 

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridloom.session import cut, lookup
+
+#: Letters in a row by which texts that may hold a term are found; shorter terms are looked for whole.
+RUN = 4
+
 
 def latest(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by `order`, as one hash aggregate with map-side combining (no sort of a key's rows)."""
@@ -67,3 +72,34 @@ def contains_terms(texts: DataFrame, text: str, terms: DataFrame, term: str, lea
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - least + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(least))))
     x = texts.withColumn("__g", F.explode(grams))
     return x.join(t.withColumn("__g", F.substring(term, 1, least)), "__g").where(F.col(text).contains(F.col(term))).drop("__g")
+
+
+def _runs(text: str, n: int) -> Column:
+    """Every n letters in a row of a text, overlapping, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+def first_holding(terms: DataFrame, texts: DataFrame, on: list[str]) -> DataFrame:
+    """on, k, n, at: for each of terms (on, k) the least `at` of the texts (on, t, at) of the same key that equal it (n is 0), else of those that hold it (n is 1). Terms that no text holds are left out.
+
+    Equal texts are found by key, among those no shorter than the key's shortest term. Terms without one only meet longer texts
+    that hold the rarest of their runs of letters, so that the terms and texts of one key, of which there may be millions, never
+    meet pairwise.
+    """
+    shortest = cut(terms.groupBy(*on).agg(F.min(F.length("k")).alias("__least")))
+    texts = lookup(texts, shortest, on, "t").where(F.length("t") >= F.col("__least"))
+    each = texts.groupBy(*on, F.col("t").alias("k")).agg(F.min("at").alias("at"))
+    found = cut(terms.select(*on, "k").distinct().join(each, [*on, "k"], "left"))
+    equal = found.where("at is not null").select(*on, "k", F.lit(0).alias("n"), "at")
+    left = found.where("at is null").drop("at")
+    if left.isEmpty():
+        return equal
+    keys = cut(left.groupBy(*on).agg(F.min(F.length("k")).alias("__least"), F.collect_set(F.least(F.length("k"), F.lit(RUN))).alias("__sizes")))
+    longer = cut(lookup(texts.drop("__least"), keys, on, "t").where(F.length("t") > F.col("__least")).groupBy(*on, "t", "__sizes").agg(F.min("at").alias("at")))
+    runs = F.array_distinct(F.concat(*[F.when(F.array_contains("__sizes", n), _runs("t", n)).otherwise(F.array().cast("array<string>")) for n in range(1, RUN + 1)]))
+    counts = longer.select(*on, F.explode(runs).alias("__run")).groupBy(*on, "__run").agg(F.count("*").alias("__texts"))
+    own = left.select(*on, "k", F.explode(F.when(F.length("k") < RUN, F.array("k")).otherwise(F.array_distinct(_runs("k", RUN)))).alias("__run"))
+    rarest = own.join(counts, [*on, "__run"], "left").groupBy(*on, "k").agg(F.min(F.struct(F.coalesce("__texts", F.lit(0)).alias("texts"), "__run")).alias("__r"))
+    sought = cut(rarest.where("__r.texts > 0").select(*on, "k", "__r.__run"))  # a run that no text has: nor has any text the term
+    held = longer.select(*on, "t", "at", F.explode(runs).alias("__run")).join(sought, [*on, "__run"]).where(F.col("t").contains(F.col("k")))
+    return equal.unionByName(held.groupBy(*on, "k").agg(F.min("at").alias("at")).withColumn("n", F.lit(1)))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as X
+from gridloom.functions.grid import deduplicated
 from gridloom.operators import edges, findings, infer, language, reconcile, report
 from gridloom.operators.crosstable import base_code
 from gridloom.operators.relational import latest
@@ -76,7 +77,7 @@ def language_placed_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English titles as marks, which no cell holds; every second one spoilt, so that nothing holds it."""
     t = table(spark, sf_dir, "stat_tables")
     m = t.where("length(title_en) > 8").select(F.col("id").alias("mark_id"), "code", F.when(F.col("id") % 2 == 0, F.col("title_en")).otherwise(F.concat("title_en", F.lit("#?"))).alias("text"), F.lit(None).cast("int").alias("col_index"))
-    return language.placed(m, t, cells_of(spark, sf_dir)).select("mark_id", "place")
+    return language.placed(m, t, cut(deduplicated(table(spark, sf_dir, "stat_table_cells").select("id", "table_id", "row_index", "col_index", "text_value")))).select("mark_id", "place")
 
 
 @query("language_synchronised", "WITH m AS (SELECT code, title AS text, count(*) AS marks FROM stat_tables GROUP BY ALL), c AS (SELECT code, title AS text, count(*) AS checks FROM stat_tables WHERE id % 3 <> 0 GROUP BY ALL) SELECT coalesce(m.code, c.code) AS code, coalesce(m.text, c.text) AS text, coalesce(marks, 0) AS marks, coalesce(checks, 0) AS checks, CASE WHEN coalesce(checks, 0) < coalesce(marks, 0) THEN 'open' WHEN checks = marks THEN 'checked' ELSE 'stale' END AS status FROM m FULL JOIN c ON m.code = c.code AND m.text = c.text")
