@@ -67,7 +67,7 @@ h AS (SELECT m.mark_id, k.table_id, k.row_index, k.col_index, row_number() OVER
 SELECT mark_id, 'cell' AS place, table_id, row_index, col_index FROM h WHERE n = 1 UNION ALL SELECT mark_id, 'none', NULL, NULL, NULL FROM m WHERE k = ''""".replace("\\\\", "\\"))
 def language_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fortieth cell's text as a mark in its table's code and column, found again."""
-    t, c = table(spark, sf_dir, "stat_tables"), cut(cells_of(spark, sf_dir))
+    t, c = table(spark, sf_dir, "stat_tables"), cut(deduplicated(table(spark, sf_dir, "stat_table_cells").select("id", "table_id", "row_index", "col_index", "text_value")))
     m = c.where("id % 40 = 0 and text_value is not null").join(t.select(F.col("id").alias("table_id"), "code"), "table_id").select(F.col("id").alias("mark_id"), "code", F.col("text_value").alias("text"), "col_index")
     return language.placed(m, t, c)
 

@@ -49,6 +49,18 @@ def test_many_titles_in_many_tables(spark):
     assert got == {("field", 0, True, n // 2), ("none", 1, False, n // 2)}
 
 
+def test_many_marks_in_one_table(spark):
+    """60,000 marks of one code and column: equal to cells, within cells, and in none."""
+    n = 60_000
+    t = spark.createDataFrame([(1, "9-1", "t", "", "", "")], "id long, code string, title string, title_en string, source string, note string")
+    c = spark.range(n).select(F.lit(1).cast("long").alias("table_id"), F.col("id").cast("int").alias("row_index"), F.lit(2).alias("col_index"), F.format_string("facility-%06d of", "id").alias("text_value"))
+    text = F.when(F.col("id") % 3 == 0, F.format_string("Facility-%06d of", "id")).when(F.col("id") % 3 == 1, F.format_string("-%06d", "id")).otherwise(F.format_string("%06d-", "id"))
+    m = spark.range(n).select(F.col("id").alias("mark_id"), F.lit("9-1").alias("code"), text.alias("text"), F.lit(2).alias("col_index"))
+    with within(spark, 60):
+        got = {tuple(r) for r in language.placed(m, t, c).groupBy("place", F.col("mark_id") % 3, F.col("mark_id").eqNullSafe(F.col("row_index"))).count().collect()}
+    assert got == {("cell", 0, True, n // 3), ("cell", 1, True, n // 3), ("none", 2, False, n // 3)}
+
+
 def test_marks_with_and_without_a_column(spark):
     """Equal cells before those that hold it, also in a part of the code; marks without a column look in all; a mark given twice has one place; codes, texts and columns are missing."""
     t = spark.createDataFrame([(5, "1-2", "x", "Some Title", None, ""), (6, "1-2 표1", "y", "Other", "made by Q", None), (7, None, "z", "Q", "", ""), (8, "1-3", "w", "", "", "")], "id long, code string, title string, title_en string, source string, note string")
