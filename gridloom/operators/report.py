@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from gridloom.functions import numeric as N
 from gridloom.functions import text as X
 from gridloom.operators.edges import NORMAL
+from gridloom.operators.relational import first_holding
 from gridloom.session import cut
 
 # Types that are shown under another one, and the spec types whose findings mark a row or a column.
@@ -143,9 +144,10 @@ def key_figures(cells: DataFrame, metrics: int = 3, series: int = 8) -> DataFram
 def issue_places(issues: DataFrame, cells: DataFrame) -> DataFrame:
     """issues (issue_id, table_id, found) with row_index, col_index of the first cell, in reading order, whose text is the found one, else of the first that holds it; null if none does."""
     key = lambda c: F.lower(F.regexp_replace(c, X.WS, ""))
-    c = cells.where("text_value is not null").select("table_id", "row_index", "col_index", key(F.col("text_value")).alias("__t")).where("__t <> ''")
-    j = issues.withColumn("__f", key(F.col("found"))).join(c, "table_id").where(F.col("__t").contains(F.col("__f")) & (F.col("__f") != ""))
-    best = j.groupBy("issue_id").agg(F.min(F.struct((F.col("__t") != F.col("__f")).cast("int").alias("n"), "row_index", "col_index")).alias("b")).select("issue_id", "b.row_index", "b.col_index")
+    c = cells.select("table_id", key(F.col("text_value")).alias("t"), F.struct("row_index", "col_index").alias("at")).where("t <> ''")
+    i = issues.select("issue_id", "table_id", key(F.col("found")).alias("k")).where("k <> ''")
+    hit = i.join(first_holding(i, c, ["table_id"]), ["table_id", "k"])
+    best = hit.groupBy("issue_id").agg(F.min(F.struct("n", "at")).alias("b")).select("issue_id", "b.at.*")
     return issues.join(best, "issue_id", "left")
 
 

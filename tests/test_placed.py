@@ -6,7 +6,7 @@ from threading import Timer
 
 from pyspark.sql import functions as F
 
-from gridloom.operators import language
+from gridloom.operators import language, report
 from gridloom.operators.relational import first_holding
 
 CELLS = "table_id long, row_index int, col_index int, text_value string"
@@ -70,3 +70,14 @@ def test_marks_with_and_without_a_column(spark):
     none = ("none", None, None, None)
     want = {1: ("cell", 6, 1, 1), 2: ("cell", 5, 2, 2), 3: none, 4: ("cell", 5, 1, 1), 5: none, 6: ("field", 6, None, None), 7: none, 8: none, 9: none, 10: ("cell", 6, 1, 2), 11: ("cell", 8, 1, None), 12: none}
     assert got == want
+
+
+def test_many_issues_in_one_table(spark):
+    """240,000 issues of one table: found as they are, within a cell, and not at all."""
+    n = 240_000
+    c = spark.range(n).select(F.lit(1).cast("long").alias("table_id"), F.col("id").cast("int").alias("row_index"), F.lit(0).alias("col_index"), F.format_string("Place %06d in", "id").alias("text_value"))
+    text = F.when(F.col("id") % 3 == 0, F.format_string("place%06d in", "id")).when(F.col("id") % 3 == 1, F.format_string("E %06d", "id")).otherwise(F.format_string("%06d at", "id"))
+    i = spark.range(n).select(F.col("id").alias("issue_id"), F.lit(1).cast("long").alias("table_id"), text.alias("found"))
+    with within(spark, 60):
+        got = {tuple(r) for r in report.issue_places(i, c).groupBy(F.col("issue_id") % 3, F.col("issue_id").eqNullSafe(F.col("row_index"))).count().collect()}
+    assert got == {(0, True, n // 3), (1, True, n // 3), (2, False, n // 3)}
